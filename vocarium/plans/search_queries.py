@@ -62,7 +62,8 @@ FROM (SELECT *, '(?i)(?:^|{_EDGE})' || array_to_string(list_transform({tokens_sq
         CASE WHEN length(w) <= 3 THEN w || '[ёе]*' ELSE {root_sql("w")} || '{_W}*' END),
         '(?:{_NW}+{_W}+){{{{0,10}}}}?{_NW}+') || '(?:$|{_EDGE})' AS pattern
       FROM {{routed}} WHERE branch = 'quote') q
-JOIN {{index}} p ON {_PASSES} AND regexp_matches(p.text, q.pattern)
+JOIN {{index}} p ON {_PASSES} AND CASE WHEN len(list_filter({tokens_sql("q.clean")}, lambda w:
+  NOT contains(lower(p.text), {root_sql("w")}))) = 0 THEN regexp_matches(p.text, q.pattern) ELSE FALSE END
 QUALIFY rank <= 60
 """
 
@@ -125,7 +126,7 @@ FROM (
 
 def clock_sql(seconds: str) -> str:
     total = f"CAST(floor({seconds}) AS BIGINT)"
-    return (f"CASE WHEN {total} >= 3600 THEN lpad(({total} // 3600)::VARCHAR, greatest(2, length(({total} // 3600)::VARCHAR)), '0') || ':' ELSE '' END || "
+    return (f"CASE WHEN {total} >= 3600 THEN lpad(({total} // 3600)::VARCHAR, CAST(greatest(2, length(({total} // 3600)::VARCHAR)) AS INT), '0') || ':' ELSE '' END || "
             f"lpad(({total} % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({total} % 60)::VARCHAR, 2, '0')")
 
 
@@ -474,7 +475,7 @@ def nonblank_chunks(v):
 
 
 @query("hashed_embedding", f"""
-SELECT chunk_id, slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)), 5) AS weight
+SELECT chunk_id, slot, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS FLOAT) AS DOUBLE), 5) AS weight
 FROM (SELECT chunk_id, CAST(('0x' || left(md5(w), 7)) AS BIGINT) % 64 AS slot, count(*) AS n
       FROM (SELECT chunk_id, unnest({tokens_sql("text")}) AS w FROM {{points}}) GROUP BY chunk_id, slot)""")
 def embed_chunks(v):
