@@ -11,7 +11,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vocarium.functions import text as tx
 from vocarium.operators.lexical import bind
@@ -68,7 +68,7 @@ def _merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def quote_highlight(text: pd.Series, phrase: pd.Series) -> pd.Series:
     """Mark the words of a quote, not what lies between them."""
     return pd.Series([None if t is None else _mark(t, p or "") for t, p in zip(text, phrase)], dtype=object)
@@ -84,7 +84,11 @@ def _best_span(text: str, phrase: str) -> tuple[int, int, float]:
     return start, end, (ideal / max(ideal, end - start)) ** 2
 
 
-@F.pandas_udf("start INT, end INT, precision DOUBLE")
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
+                      T.StructField("precision", T.DoubleType())])
+
+
+@F.pandas_udf(_SPAN)
 def best_match_span(text: pd.Series, phrase: pd.Series) -> pd.DataFrame:
     """Shortest match of a quote, and how close its length is to that of its words."""
     return pd.DataFrame([_best_span(t or "", p or "") for t, p in zip(text, phrase)],
@@ -105,7 +109,7 @@ def _snippet(text: str, phrase: str, window: int) -> str:
 
 def crop_snippet(text: Column, phrase: Column, window: int = 250) -> Column:
     """Text around the best match, cut at spaces; the first 500 characters when nothing matches."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def crop(texts: pd.Series, phrases: pd.Series) -> pd.Series:
         return pd.Series([_snippet(t or "", p or "", window) for t, p in zip(texts, phrases)], dtype=object)
 
