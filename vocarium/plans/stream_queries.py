@@ -104,11 +104,12 @@ def stream_pause_sessions(v):
 SELECT epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) // 1000 AS start, count(*) AS n FROM {events}
 WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1""")
 def stream_late_events(v):
-    # The newer half arrives first; by the time the older half comes its windows have passed.
+    # The newer half arrives first, in two files; by the time the older half comes its windows
+    # have passed. Lateness is judged by the watermark of the batch before.
     folder = work_path(v.spark, "arrivals")
     timed = v["events"].select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    timed.filter("ts >= '2024-01-16'").coalesce(1).write.parquet(folder)
-    timed.filter("ts < '2024-01-16'").coalesce(1).write.mode("append").parquet(folder)
+    for arrival in ("ts >= '2024-01-16' AND event_id % 2 = 0", "ts >= '2024-01-16' AND event_id % 2 = 1", "ts < '2024-01-16'"):
+        timed.filter(arrival).coalesce(1).write.mode("append").parquet(folder)
     arriving = v.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     return feeds.windows_without_late(arriving)
 
