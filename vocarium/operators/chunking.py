@@ -8,7 +8,8 @@ utterances, so no task ever holds more than one block:
 * for longer videos every block first states what it does to each possible open length
   (a bounded table, since an open chunk is shorter than ``absolute_max``); the tables are
   composed along the video, level by level, which gives the exact open length at which each
-  block starts; then all blocks fold in parallel.
+  block starts; then all blocks fold in parallel. The second way is planned only when there
+  is a longer video.
 """
 
 from __future__ import annotations
@@ -22,12 +23,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import identity
 from vocarium.functions.text import strip
+from vocarium.session import broadcast_if_small, materialise, written
 
 #: Utterances folded together, and block tables composed together.
 BLOCK = 4096
 FAN_IN = 1024
-#: Composition levels; 4096 * 1024 ** 3 utterances in a single video.
-LEVELS = 3
 
 
 @dataclass(frozen=True)
@@ -156,13 +156,17 @@ _TABLE = "video_id BIGINT, block BIGINT, leave ARRAY<BIGINT>, closed ARRAY<BIGIN
 _ENTRY = "video_id BIGINT, block BIGINT, entry_length BIGINT, entry_count BIGINT"
 
 
-def _entries(long_blocks: DataFrame, rules: ChunkRules) -> DataFrame:
-    """Open length and chunk number at which every block of a long video starts."""
-    tables = [long_blocks.select("video_id", "block", "steps").mapInPandas(_transitions(rules), _TABLE)]
-    for _ in range(LEVELS):
-        tables.append(
+def _entries(blocks: DataFrame, rules: ChunkRules) -> DataFrame:
+    """Open length and chunk number at which every block of the given videos starts.
+
+    A level of tables is a thousandth of the one below; each is small, read twice, and kept in
+    the checkpoint folder. Levels are added until one table per video is left.
+    """
+    tables = [materialise(blocks.select("video_id", "block", "steps").mapInPandas(_transitions(rules), _TABLE))]
+    while tables[-1].filter("block > 0").limit(1).count():
+        tables.append(materialise(
             tables[-1].groupBy("video_id", F.floor(F.col("block") / FAN_IN).alias("parent"))
-            .applyInPandas(_compose, _TABLE))
+            .applyInPandas(_compose, _TABLE)))
     entries = tables[-1].select("video_id", "block", F.lit(0).cast("bigint").alias("entry_length"),
                                 F.lit(0).cast("bigint").alias("entry_count"))
     for level in reversed(tables[:-1]):
@@ -208,12 +212,14 @@ def _pieces(blocks: DataFrame, rules: ChunkRules) -> DataFrame:
 
 def chunk_utterances(utterances: DataFrame, rules: ChunkRules = ChunkRules(), block: int = BLOCK) -> DataFrame:
     """Chunks ``(video_id, chunk_index, start_sec, end_sec, text)`` of every video."""
-    blocks = _blocks(utterances, rules, block)
-    # Reads an aggregate result, so both branches keep the same shuffle and share it.
-    is_long = F.col("guest") | (F.col("block") > 0)
-    whole = blocks.filter(~is_long).withColumn("entry_count", F.lit(0).cast("bigint")).withColumn(
-        "entry_length", F.lit(0).cast("bigint"))
-    parts = blocks.filter(is_long)
+    at_start = {"entry_length": F.lit(0).cast("bigint"), "entry_count": F.lit(0).cast("bigint")}
+    long_videos = utterances.filter(F.col("pos") >= block).select("video_id").distinct()
+    if not long_videos.limit(1).count():
+        return _pieces(_blocks(utterances, rules, block).withColumns(at_start), rules).drop("block")
+    long_videos = materialise(long_videos)
+    listed = broadcast_if_small(long_videos)
+    whole = _blocks(utterances.join(listed, "video_id", "left_anti"), rules, block).withColumns(at_start)
+    parts = written(_blocks(utterances.join(listed, "video_id", "left_semi"), rules, block), "blocks")
     parts = parts.join(_entries(parts, rules), ["video_id", "block"])
     ordered = F.array_sort(F.collect_list(F.struct("block", "start_sec", "end_sec", "text")))
     joined = (

@@ -80,14 +80,15 @@ def _candidates(index: DataFrame, queries: DataFrame, match: str) -> DataFrame:
         .join(wanted.drop("query_roots"), "query_id")
         .select("query_id", "terms", "query_roots", "q_short", "q_4k", "date_lo", "date_hi", "v_id",
                 F.explode("driver").alias("root")))
+    # Plain array functions only: a lambda in the join condition would switch off code generation
+    # and copy every document's roots once per root.
     found = (
         index.withColumn("root", F.explode(F.array_distinct("roots")))
         .join(F.broadcast(driven), "root").filter(passes()))
     if match == "all":
-        return found.filter(F.forall("query_roots", lambda r: F.array_contains("roots", r)))
+        return found.filter(F.size(F.array_except("query_roots", "roots")) == 0)
     # Several roots of a query may lead here; only the first one present counts.
-    return found.filter(
-        F.get(F.filter("query_roots", lambda r: F.array_contains("roots", r)), F.lit(0)) == F.col("root"))
+    return found.filter(F.get(F.array_intersect("query_roots", "roots"), F.lit(0)) == F.col("root"))
 
 
 def bm25_score(total: Column, average: Column) -> Column:
@@ -180,26 +181,35 @@ def quote_match(text: Column, quote: Column) -> Column:
     return bind(quote_tokens(text), lambda words: F.size(quote_positions(words, quote)) > 0)
 
 
+def only_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter that stays behind the join it follows.
+
+    A condition with lambdas would be moved into the join and switch off its code generation.
+    """
+    return df.withColumn("_kept", F.explode(F.when(condition, F.array(F.lit(True))))).drop("_kept")
+
+
 def quote_search(queries: DataFrame, index: DataFrame, limits: int) -> DataFrame:
     """Chunks holding the quote: ``(query_id, chunk_id, score, rank)``, first ``limits`` per query by id.
 
-    Candidates hold a token under the rarest key of the quote; the exact check runs in the row.
+    Candidates hold a token under every key of the quote and are found by the rarest; the exact check runs in the row.
     """
     parts = None
     for batch in query_batches(queries):
         parsed = batch.withColumn("quote", tx.tokens(F.col("clean"))).filter(F.size("quote") > 0)
-        keys = parsed.select("query_id", "quote", "q_short", "q_4k", "date_lo", "date_hi", "v_id",
-                             F.explode(F.array_distinct(F.transform("quote", _word_key))).alias("key"))
+        parsed = parsed.withColumn("quote_keys", F.array_distinct(F.transform("quote", _word_key)))
+        keys = parsed.select("query_id", "quote", "quote_keys", "q_short", "q_4k", "date_lo", "date_hi", "v_id",
+                             F.explode("quote_keys").alias("key"))
         docs = index.withColumn("keys", _token_keys(tx.tokens(F.col("text"))))
         seen = docs.select(F.explode("keys").alias("key")).join(
             F.broadcast(keys.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("df"))
         rarest = keys.join(F.broadcast(seen), "key").groupBy("query_id").agg(
             F.min_by("key", F.struct("df", "key")).alias("key"))
         driven = keys.join(rarest, ["query_id", "key"])
-        hits = (
-            docs.withColumn("key", F.explode("keys")).join(F.broadcast(driven), "key").filter(passes())
-            .filter(quote_match(F.col("text"), F.col("quote")))
-            .select("query_id", "chunk_id", F.lit(100.0).alias("score")))
+        near = docs.withColumn("key", F.explode("keys")).join(F.broadcast(driven), "key").filter(passes())
+        near = near.filter(F.size(F.array_except("quote_keys", "keys")) == 0)
+        hits = only_where(near, quote_match(F.col("text"), F.col("quote"))).select(
+            "query_id", "chunk_id", F.lit(100.0).alias("score"))
         best = top_k(hits, ["query_id"], [F.asc("chunk_id")], limits)
         parts = best if parts is None else parts.unionByName(best)
     return parts
