@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import text as tx
 from vocarium.operators.ranking import global_position
+from vocarium.session import materialise
 
 #: Files of one title folded in one row; larger titles are folded block by block.
 GROUP = 10_000
@@ -48,50 +49,140 @@ def _fold_small(prepared: DataFrame) -> DataFrame:
         "key", F.col("state.kept.id").alias("kept"), F.col("state.pairs").alias("pairs"))
 
 
-_PAIRS = "key STRING, skipped STRING, preferred STRING, last_id STRING, pos BIGINT"
-
-
-def _fold_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Fold files sorted by key and position; holds one file per key, whatever the key's size."""
-    key = kept = None
+# A title with more files than one row should hold is folded in blocks of neighbouring positions.
+# Among files of one kind the current file gives way to the first later one that is earlier or
+# larger, so what a block does to any file entering it follows from its record files: those
+# earlier, or larger, than all before them. Marked files matter until the first unmarked one.
+
+_SUMMARY = (
+    "key STRING, block BIGINT, marked BOOLEAN, records ARRAY<STRUCT<at: BIGINT, created: STRING, size: BIGINT, "
+    "leaves_id: STRING, leaves_created: STRING, leaves_size: BIGINT>>")
+_LATEST = "\U0010ffff"  # stands for a missing creation time: later than any
+
+
+def _beats(created: str, size: int, than_created: str, than_size: int) -> bool:
+    return created < than_created or size > than_size
+
+
+def _leaving(items: list[tuple[str, str, int]]) -> list[int]:
+    """For every file of one kind: the file that is current at the end when it enters."""
+    count = len(items)
+    follow, earlier, larger = [count] * count, [], []
+    for i in range(count - 1, -1, -1):
+        _, created, size = items[i]
+        while earlier and items[earlier[-1]][1] >= created:
+            earlier.pop()
+        while larger and items[larger[-1]][2] <= size:
+            larger.pop()
+        follow[i] = min(earlier[-1] if earlier else count, larger[-1] if larger else count)
+        earlier.append(i)
+        larger.append(i)
+    leaves = list(range(count))
+    for i in range(count - 1, -1, -1):
+        if follow[i] < count:
+            leaves[i] = leaves[follow[i]]
+    return leaves
+
+
+def _summarise(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
+    """Records of a block, for its marked and its unmarked files."""
+    rows = []
+    for marked, part in files.sort_values("pos").groupby("marked"):
+        items = list(zip(part["id"], part["created"].replace("", _LATEST), part["size"]))
+        leaves = _leaving(items)
+        records, best_created, best_size = [], None, None
+        for i, (_, created, size) in enumerate(items):
+            if i == 0 or created < best_created or size > best_size:
+                end = items[leaves[i]]
+                records.append({"at": i, "created": created, "size": size, "leaves_id": end[0],
+                                "leaves_created": end[1], "leaves_size": end[2]})
+                best_created = created if i == 0 else min(best_created, created)
+                best_size = size if i == 0 else max(best_size, size)
+        rows.append((key[0], key[1], bool(marked), records))
+    return pd.DataFrame(rows, columns=["key", "block", "marked", "records"])
+
+
+_ENTERING = "key STRING, block BIGINT, cur_id STRING, cur_created STRING, cur_size BIGINT, cur_marked BOOLEAN"
+
+
+def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Current file at the start of every block, from summaries sorted by key and block.
+
+    Marked summaries come first within a block. One current file is held; a null id starts a key.
+    """
+    key = current = seen = None
     for frame in batches:
         rows = []
-        for item in frame.itertuples(index=False):
-            if item.key != key:
-                if kept is not None:
-                    rows.append((key, None, None, kept.id, None))
-                key, kept = item.key, item
-                continue
-            if kept.marked != item.marked:
-                wins = kept.marked
-            else:
-                earlier = item.created != "" and (kept.created == "" or item.created < kept.created)
-                wins = earlier or item.size > kept.size
-            loser, kept = (kept, item) if wins else (item, kept)
-            rows.append((key, loser.id, kept.id, None, item.pos))
-        yield pd.DataFrame(rows, columns=["key", "skipped", "preferred", "last_id", "pos"]).astype({"pos": "Int64"})
-    if kept is not None:
-        yield pd.DataFrame([(key, None, None, kept.id, None)],
-                           columns=["key", "skipped", "preferred", "last_id", "pos"]).astype({"pos": "Int64"})
+        for row in frame.itertuples(index=False):
+            if row.key != key:
+                key, current, seen = row.key, None, None
+            if row.block != seen:
+                rows.append((key, row.block, *(current or (None, None, None, None))))
+                seen = row.block
+            current = _after(current, row)
+        out = pd.DataFrame(rows, columns=["key", "block", "cur_id", "cur_created", "cur_size", "cur_marked"])
+        yield out.astype({"cur_size": "Int64", "cur_marked": "boolean"})
+
+
+def _after(current: tuple | None, row) -> tuple:
+    """Current file after the files of one kind in a block."""
+    if current is not None and current[3] != row.marked:
+        if row.marked:
+            return current
+        current = None  # an unmarked file replaces any marked one
+    for record in row.records:
+        if current is None or _beats(record["created"], record["size"], current[1], current[2]):
+            return record["leaves_id"], record["leaves_created"], record["leaves_size"], row.marked
+    return current
+
+
+_PAIRS = "key STRING, skipped STRING, preferred STRING, pos BIGINT"
+
+
+def _fold_block(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block whose entering file is known."""
+    files = files.sort_values("pos")
+    head = files.iloc[0]
+    current = None if pd.isna(head["cur_id"]) else (
+        head["cur_id"], head["cur_created"], int(head["cur_size"]), bool(head["cur_marked"]))
+    rows = []
+    for item in files.itertuples(index=False):
+        other = (item.id, item.created or _LATEST, item.size, item.marked)
+        if current is None:
+            current = other
+            continue
+        wins = current[3] if current[3] != other[3] else _beats(other[1], other[2], current[1], current[2])
+        loser, current = (current, other) if wins else (other, current)
+        rows.append((key[0], loser[0], current[0], item.pos))
+    return pd.DataFrame(rows, columns=["key", "skipped", "preferred", "pos"])
+
+
+def _fold_large(prepared: DataFrame, block: int) -> DataFrame:
+    """Pairs of titles of any size; no task holds more than one block of files."""
+    blocked = prepared.withColumn("block", F.floor(F.col("pos") / block))
+    summaries = blocked.groupBy("key", "block").applyInPandas(_summarise, _SUMMARY)
+    entering = (
+        summaries.repartition("key").sortWithinPartitions("key", "block", F.desc("marked"))
+        .mapInPandas(_resolve, _ENTERING))
+    return blocked.join(entering, ["key", "block"]).groupBy("key", "block").applyInPandas(_fold_block, _PAIRS)
 
 
 def gallery_dedupe(files: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """Kept file per canonical title, and every (skipped, preferred) pair, in input order.
 
-    The preference is not transitive, so each title is folded in order of ``pos``. Titles of
-    ordinary size fold as arrays in the JVM. A title with more than ``group`` files is streamed
-    in order through a fold that remembers a single file, so memory does not grow with it.
+    The preference is not transitive, so each title is folded in order of ``pos``, which is
+    unique. Titles of ordinary size fold as arrays in the JVM, titles of more than ``group``
+    files block by block.
     """
     prepared = _prepared(files)
     large = prepared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key")
     small = _fold_small(prepared.join(large, "key", "left_anti"))
-    streamed = (
-        prepared.join(large, "key", "left_semi").repartition("key").sortWithinPartitions("key", "pos")
-        .mapInPandas(_fold_stream, _PAIRS))
-    kept = small.select("key", F.col("kept").alias("id")).unionByName(
-        streamed.filter("last_id IS NOT NULL").select("key", F.col("last_id").alias("id")))
-    pairs = small.select("key", F.explode("pairs").alias("p")).select("key", "p.skipped", "p.preferred").unionByName(
-        streamed.filter("last_id IS NULL").select("key", "skipped", "preferred"))
+    kept = small.select("key", F.col("kept").alias("id"))
+    pairs = small.select("key", F.explode("pairs").alias("p")).select("key", "p.skipped", "p.preferred")
+    if large.limit(1).count():
+        folded = materialise(_fold_large(prepared.join(large, "key", "left_semi"), group))
+        kept = kept.unionByName(folded.groupBy("key").agg(F.max_by("preferred", "pos").alias("id")))
+        pairs = pairs.unionByName(folded.select("key", "skipped", "preferred"))
     return kept, pairs
 
 
