@@ -15,11 +15,13 @@ _CORRUPT = "_corrupt_record"
 def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """One document per file; an unreadable one gives a row with ``corrupt`` set, not an error."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json(\.gz)?$", 1)
-    return (
-        spark.read.schema(f"{schema}, {_CORRUPT} STRING")
-        .option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").json(folder)
-        .withColumns({"file_id": name, "corrupt": F.col(_CORRUPT).isNotNull()}).drop(_CORRUPT))
+    files = (
+        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.json*").text(folder))
+    document = F.from_json("value", f"{schema}, {_CORRUPT} STRING", {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+    return files.select(name.alias("file_id"), document.alias("d")).select(
+        "file_id", "d.*", F.col(f"d.{_CORRUPT}").isNotNull().alias("corrupt")).drop(_CORRUPT)
 
 
 def scan_raw(spark: SparkSession, folder: str) -> DataFrame:
