@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import text as tx
 from vocarium.operators.filters import passes
-from vocarium.operators.ranking import top_k
+from vocarium.operators.ranking import top_k_spread
 
 K1, B = 1.2, 0.75
 
@@ -116,7 +116,7 @@ def bm25_search(queries: DataFrame, index: DataFrame, k: int = 100, match: str =
     for batch in query_batches(queries):
         counted = _candidates(index, batch, match).withColumns({"total": total, "average": average})
         scored = counted.select("query_id", "chunk_id", bm25_score(F.col("total"), F.col("average")).alias("score"))
-        best = top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        best = top_k_spread(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
@@ -210,7 +210,7 @@ def quote_search(queries: DataFrame, index: DataFrame, limits: int) -> DataFrame
         near = near.filter(F.size(F.array_except("quote_keys", "keys")) == 0)
         hits = only_where(near, quote_match(F.col("text"), F.col("quote"))).select(
             "query_id", "chunk_id", F.lit(100.0).alias("score"))
-        best = top_k(hits, ["query_id"], [F.asc("chunk_id")], limits)
+        best = top_k_spread(hits, ["query_id"], [F.asc("chunk_id")], limits)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 

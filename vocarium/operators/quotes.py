@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vocarium.functions import text as tx
 from vocarium.operators import lexical
 
-#: Seconds per bin of the interval joins.
-BIN_SEC = 60.0
+#: Seconds per bin of the interval joins, and bins an interval may touch before it is joined by
+#: video alone (a span of a week is a broken time, but its matches count).
+BIN_SEC, MOST_BINS = 60.0, 10_000
 
 
 def _bins(start: Column, end: Column) -> Column:
@@ -16,29 +17,39 @@ def _bins(start: Column, end: Column) -> Column:
     return F.sequence(lo, F.greatest(lo, hi))
 
 
+def _is_long(start: str, end: str) -> Column:
+    return F.coalesce(F.col(end) - F.col(start) > BIN_SEC * MOST_BINS, F.lit(False))
+
+
 def words_in_chunk(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Words that overlap a chunk of their video: ``(chunk_id, pos, word, start, end)``.
 
     Both sides carry the minutes they touch, which makes the overlap an equi-join; a pair meets
     in the first minute they share only, so no pair appears twice.
     """
-    w = words.select("video_id", "pos", "word", "start", "end", F.explode(_bins(F.col("start"), F.col("end"))).alias("bin"))
-    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec",
-                      F.explode(_bins(F.col("start_sec"), F.col("end_sec"))).alias("bin"))
+    w = words.select("video_id", "pos", "word", "start", "end")
+    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec")
+    overlap = (F.col("start") < F.col("end_sec")) & (F.col("end") > F.col("start_sec"))
+    long_word, long_chunk = _is_long("start", "end"), _is_long("start_sec", "end_sec")
     first_shared = F.floor(F.greatest("start", "start_sec") / BIN_SEC)
-    return c.join(w, ["video_id", "bin"]).filter(
-        (F.col("start") < F.col("end_sec")) & (F.col("end") > F.col("start_sec")) & (F.col("bin") == first_shared)
-    ).select("chunk_id", "video_id", "pos", "word", "start", "end")
+    binned = c.filter(~long_chunk).withColumn("bin", F.explode(_bins(F.col("start_sec"), F.col("end_sec")))).join(
+        w.filter(~long_word).withColumn("bin", F.explode(_bins(F.col("start"), F.col("end")))), ["video_id", "bin"]
+    ).filter(overlap & (F.col("bin") == first_shared)).drop("bin")
+    broken = c.filter(long_chunk).join(w, "video_id").filter(overlap).unionByName(
+        c.filter(~long_chunk).join(w.filter(long_word), "video_id").filter(overlap))
+    return binned.unionByName(broken).select("chunk_id", "video_id", "pos", "word", "start", "end")
 
 
 def utterances_in_chunk(utterances: DataFrame, chunks: DataFrame) -> DataFrame:
     """Utterances that lie inside a chunk; an utterance looks in the bin of its start."""
-    u = utterances.withColumn("bin", F.floor(F.col("start") / BIN_SEC))
-    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec",
-                      F.explode(_bins(F.col("start_sec"), F.col("end_sec"))).alias("bin"))
-    return c.join(u, ["video_id", "bin"]).filter(
-        (F.col("start") >= F.col("start_sec")) & (F.col("end") <= F.col("end_sec"))
-    ).select("chunk_id", "video_id", "pos", "start", "end", "text")
+    u = utterances.select("video_id", "pos", "start", "end", "text")
+    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec")
+    inside = (F.col("start") >= F.col("start_sec")) & (F.col("end") <= F.col("end_sec"))
+    long_chunk = _is_long("start_sec", "end_sec")
+    binned = c.filter(~long_chunk).withColumn("bin", F.explode(_bins(F.col("start_sec"), F.col("end_sec")))).join(
+        u.withColumn("bin", F.floor(F.col("start") / BIN_SEC)), ["video_id", "bin"]).filter(inside).drop("bin")
+    broken = c.filter(long_chunk).join(u, "video_id").filter(inside)
+    return binned.unionByName(broken).select("chunk_id", "video_id", "pos", "start", "end", "text")
 
 
 def resolve_quote_start(requests: DataFrame, chunks: DataFrame, words: DataFrame) -> DataFrame:

@@ -19,6 +19,21 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+#: Tasks that share the merging of one key's best rows.
+SPREAD = 64
+
+
+def top_k_spread(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+    """``top_k`` for few keys over many input partitions, as in search results.
+
+    Each partition sends up to ``k`` rows per key. These are first merged in groups of
+    partitions, so no task receives the rows of all partitions for a key.
+    """
+    grouped = df.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SPREAD)))
+    merged = top_k(grouped, [*keys, "_part"], order, k, rank).drop("_part", rank)
+    return top_k(merged, keys, order, k, rank)
+
+
 def latest(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """Row with the highest version per key, combined map-side."""
     rest = [c for c in df.columns if c not in keys]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from vocarium.functions import identity
 from vocarium.operators import fusion, lexical, points as point_ops, vectors
 from vocarium.operators.filters import filter_only_matches, with_parsed_query
-from vocarium.operators.ranking import top_k
+from vocarium.operators.ranking import top_k, top_k_spread
 from vocarium.session import written
 
 PREFETCH = 100
@@ -42,7 +42,7 @@ def candidates(routed: DataFrame, index: DataFrame, dimension: int, limit: int,
     quoted = lexical.quote_search(routed.filter("branch = 'quote'"), index, 3 * limit).select(
         "query_id", "chunk_id", F.col("score").alias("combined"), F.lit("quote").alias("match_type"),
         F.col("rank").alias("lexical_rank")).withColumns(empty)
-    filtered = top_k(filter_only_matches(routed.filter("branch = 'filter'"), index), ["query_id"],
+    filtered = top_k_spread(filter_only_matches(routed.filter("branch = 'filter'"), index), ["query_id"],
                      [F.asc("video_id"), F.asc("chunk_index")], limit).select(
         "query_id", "chunk_id", F.lit(1.0).alias("combined"), F.lit("filter").alias("match_type"),
         F.col("rank").alias("lexical_rank")).withColumns(empty)

@@ -19,12 +19,15 @@ from vocarium.functions import text as tx
 from vocarium.functions.identity import squared_norm
 from vocarium.operators.filters import passes
 from vocarium.operators.lexical import bind, query_batches
-from vocarium.operators.ranking import top_k
-from vocarium.session import materialise
+from vocarium.operators.ranking import top_k, top_k_spread
+from vocarium.session import estimated_bytes, materialise
 
 #: Query vectors held by a task, and vectors multiplied at once.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 
+#: Vector tables above this size are scanned for a lower bound first, on a sample of this size.
+PRESCAN_ABOVE, PRESCAN_BYTES = 64 << 30, 2 << 30
+
 _HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
 _FILTERS = ("q_short", "q_4k", "date_lo", "date_hi", "v_id")
 _META = ("video_id", "recorded_date", "is_short", "is_4k")
@@ -40,6 +43,7 @@ class _Block(NamedTuple):
     lo: np.ndarray
     hi: np.ndarray
     video: np.ndarray
+    floor: np.ndarray
 
 
 def _query_block(queries: DataFrame) -> _Block:
@@ -52,7 +56,7 @@ def _query_block(queries: DataFrame) -> _Block:
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     column = lambda name: np.array([r[name] for r in rows], dtype=np.int64)
     return _Block(column("query_id"), unit, column("q_short"), column("q_4k"), column("date_lo"),
-                  column("date_hi"), column("v_id"))
+                  column("date_hi"), column("v_id"), np.full(len(rows), -np.inf))
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -123,7 +127,7 @@ def _scan(block: _Block, k: int, scorer: Scorer):
                 video, date, short, four_k = (
                     batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _META)
                 for q in range(len(block.ids)):
-                    allowed = (date >= block.lo[q]) & (date <= block.hi[q])
+                    allowed = (date >= block.lo[q]) & (date <= block.hi[q]) & (scores[q] >= block.floor[q])
                     if block.short[q] >= 0:
                         allowed &= short == block.short[q]
                     if block.four_k[q] >= 0:
@@ -143,14 +147,30 @@ def usable_vectors(points: DataFrame, dimension: int) -> DataFrame:
 
 def _scan_all(queries: DataFrame, points: DataFrame, k: int, dimension: int, scorer: Scorer) -> DataFrame:
     vectors = usable_vectors(points, dimension).select("chunk_id", "embedding", *_META)
+    order = [F.desc("score"), F.asc("chunk_id")]
     parts = None
     for batch in query_batches(usable_vectors(queries, dimension), QUERY_BLOCK):
-        found = vectors.mapInArrow(_scan(_query_block(batch), k, scorer), _HITS)
-        best = top_k(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        block = _query_block(batch)
+        size = estimated_bytes(vectors)
+        if size > PRESCAN_ABOVE:
+            block = block._replace(floor=_floors(block, vectors.sample(PRESCAN_BYTES / size, seed=1), k, scorer))
+        best = top_k_spread(vectors.mapInArrow(_scan(block, k, scorer), _HITS), ["query_id"], order, k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
 
+def _floors(block: _Block, sample: DataFrame, k: int, scorer: Scorer) -> np.ndarray:
+    """Score a vector must reach: that of the k-th best of a sample, per query.
+
+    The k-th best of a part is never above the k-th best of the whole, so nothing that belongs
+    in the result falls below it, while tasks far from the query send nothing.
+    """
+    kth = top_k_spread(sample.mapInArrow(_scan(block, k, scorer), _HITS), ["query_id"],
+                       [F.desc("score"), F.asc("chunk_id")], k).filter(F.col("rank") == k).select("query_id", "score")
+    found = {r["query_id"]: r["score"] for r in kth.collect()}
+    return np.array([found.get(int(i), -np.inf) for i in block.ids])
+
+
 def knn_search(queries: DataFrame, points: DataFrame, k: int, dimension: int) -> DataFrame:
     """Exact cosine neighbours: ``(query_id, chunk_id, score, rank)``, filters applied first."""
     return _scan_all(queries, points, k, dimension, cosine_scores)
@@ -203,7 +223,7 @@ def knn_lsh(queries: DataFrame, points: DataFrame, k: int, dimension: int, band_
         near = vectors.withColumn("bucket", F.explode("bands")).join(F.broadcast(asked), "bucket").filter(
             passes() & (shared == F.col("bucket")))
         scored = near.select("query_id", "chunk_id", cosine(F.col("q_embedding"), F.col("embedding")).alias("score"))
-        best = top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        best = top_k_spread(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
