@@ -101,7 +101,8 @@ def hybrid_search(queries: DataFrame, points: DataFrame, videos: DataFrame, flag
     """
     index = points if "roots" in points.columns else written(lexical.lexical_index(points), "index")
     parts = None
-    for batch in lexical.query_batches(route(queries), vectors.QUERY_BLOCK):
+    # Every branch reads the parsed queries, so they are parsed once.
+    for batch in lexical.query_batches(written(route(queries), "queries"), vectors.QUERY_BLOCK):
         hits = hydrate(candidates(batch, index, dimension, limit, match), index, videos, flags)
         shown = present(hits, batch, limit)
         parts = shown if parts is None else parts.unionByName(shown)
