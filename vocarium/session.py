@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: Most rows a side may have before it is no longer broadcast.
 BROADCAST_ROWS = 200_000
 
+#: Private folders of local sessions, by application.
+_LOCAL_ROOTS: dict[str, str] = {}
+
 
 def build_session(app: str = "vocarium", cores: str = "*", shuffle_partitions: int | None = None,
                   memory: str | None = None) -> SparkSession:
@@ -39,8 +42,10 @@ def work_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="vocarium-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL_ROOTS:
+            _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="vocarium-")
+        root = _LOCAL_ROOTS[app]
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(root)
     return root
