@@ -12,6 +12,7 @@ file, and any store that Spark can write to will do. A task makes the bytes of o
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator, Sequence
@@ -35,7 +36,7 @@ END_ID = 0
 #: Ids after which a file is closed; a single document is never cut.
 FILE_IDS = 2_000_000
 #: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _NAME = np.dtype([("doc_id", "<i8"), ("null", "u1")])
@@ -43,6 +44,9 @@ _NAME = np.dtype([("doc_id", "<i8"), ("null", "u1")])
 
 # --- encoding -----------------------------------------------------------------------------------
 
+#: Pieces with a letter or plain sign at both ends, after a space or not, and no line break.
+_PLAIN = re.compile(rb" ?(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?:[^\n]*(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))?")
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
@@ -92,30 +96,27 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.begin, self.pool, self.size = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0
+        self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode pieces in one call, parted by line breaks, which are a token of their own."""
-        simple = [p for p in new if b"\n" not in p and not p[-1:].isspace() and p[-1] < 0x80]
-        odd = list(set(new).difference(simple))
-        ids = np.zeros(0, np.uint32)
-        ends = np.zeros(0, np.int64)
-        if simple:
-            joined = b"\n".join(simple).decode()
-            got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            breaks = got == self.line[0]
-            ends = np.append(np.flatnonzero(breaks) - np.arange(breaks.sum()), len(got) - breaks.sum())
-            ids = got[~breaks]
-            if len(ends) != len(simple):  # a tokenizer with another line break: one by one
-                odd, simple, ids, ends = new, [], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        for piece in odd:
-            own = self._ids(piece.decode())
-            ids = np.append(ids, np.array(own, np.uint32))
-            ends = np.append(ends, len(ids))
+        simple = list(filter(_PLAIN.fullmatch, new))
+        odd = list(set(new).difference(simple)) if len(simple) < len(new) else []
+        joined = b"\n".join(simple).decode()
+        got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        breaks = got == self.line[0]
+        ends = np.append(np.flatnonzero(breaks) - np.arange(breaks.sum()), len(got) - breaks.sum())
+        ids = got[~breaks]
+        if len(ends) != max(1, len(simple)):  # a tokenizer with another line break: one by one
+            odd, simple = new, []
+        if not simple:
+            ids, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        alone = [np.array(self._ids(piece.decode()), np.uint32) for piece in odd]
+        lengths = np.fromiter(map(len, alone), np.int64, len(alone))
         base = len(self.known)
         self.known.update(zip([*simple, *odd], range(base, base + len(simple) + len(odd))))
-        self.begin = np.append(self.begin, self.begin[-1] + ends)
-        self.pool = np.append(self.pool, ids)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + ends, self.begin[-1] + len(ids) + np.cumsum(lengths)])
+        self.pool = np.concatenate([self.pool, ids, *alone])
 
     def encode(self, documents: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of each document, as unsigned 32-bit integers."""
@@ -247,7 +248,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, end_id: int =
 
 
 def _encoded(rows: Iterator[tuple], tokenizer: str, end_id: int, level: int) -> Iterator[tuple]:
-    """``(key, ids with the end id, compressor)``, a few megabytes of text at a time."""
+    """``(key, ids with the end id, compressor)``, a megabyte of text at a time."""
     encode, packer = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=level)
     keys: list = []
     held: list[bytes] = []
@@ -261,7 +262,7 @@ def _encoded(rows: Iterator[tuple], tokenizer: str, end_id: int, level: int) ->
         keys.append(key)
         held.append(text)
         size += len(text)
-        if size >= 4_000_000:
+        if size >= 1_000_000:
             yield from flush()
             keys, held, size = [], [], 0
     yield from flush()
