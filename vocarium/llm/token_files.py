@@ -87,6 +87,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.remembered = remembered
         self.line = self._ids("\n")
         self._forget()
