@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vocarium.llm import mixing, rules, simhash, token_files, toxicity
+from vocarium.llm import decontamination, mixing, rules, simhash, token_files, toxicity
 from vocarium.llm.rows import table
 
 #: Tokenizer file of the contract; a parameter of the operator.
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -35,6 +39,6 @@ def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
                        rules.failed(rules.mask_of(rules.POLICIES[1])).alias("base_failed"), "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op4_toxicity, op6_mix_sources, op9_simhash_groups, op10_rule_ledger)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_files, op4_toxicity, op6_mix_sources, op9_simhash_groups, op10_rule_ledger)}
 
 ORACLES: dict[str, str] = {}
