@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vocarium.llm import decontamination, mixing, rules, simhash, token_files, toxicity
+from vocarium.llm import chat, decontamination, language_model, mixing, rules, simhash, token_files, toxicity
 from vocarium.llm.rows import table
+from vocarium.session import written
 
 #: Tokenizer file of the contract; a parameter of the operator.
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +17,13 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op2_chat_transcripts(spark: SparkSession, folder: str) -> DataFrame:
+    raw = written(chat.raw_transcripts(table(spark, folder, "conversations")), "transcripts")
+    labelled = raw.filter(F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0, F.lit(False)))
+    found = chat.transcripts(raw.select("conv_id", "line_no", "line"), labelled)
+    return found.select("conv_id", F.shiftright("line_no", 32).alias("turn"), "line_no", "role", "opens", "closes", "rendered")
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -28,6 +36,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.language_model(table(spark, folder, "documents"))
+
+
 def op9_simhash_groups(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -39,6 +51,7 @@ def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
                        rules.failed(rules.mask_of(rules.POLICIES[1])).alias("base_failed"), "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_files, op4_toxicity, op6_mix_sources, op9_simhash_groups, op10_rule_ledger)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_transcripts, op3_token_files, op4_toxicity, op6_mix_sources,
+                                  op8_language_model, op9_simhash_groups, op10_rule_ledger)}
 
 ORACLES: dict[str, str] = {}
