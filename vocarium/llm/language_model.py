@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,12 +31,14 @@ MODEL_WORDS = 1022
 CLASSES = 32
 HIDDEN = 16
 #: Tokens of a window, over which gradients flow; sequences that run side by side.
-WINDOW = 24
+WINDOW = 32
 LANES = 384
+#: First rate of learning, and the steps after which it begins to fall.
 RATE = 0.02
+SLOWER = 100
 FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every task has at hand; the others are rare and meet by a join.
-COMMON_WORDS = 200_000
+COMMON_WORDS = 120_000
 SEED = 11
 #: Rounds of training; every training document is used in one of them.
 ROUNDS = 2
@@ -80,9 +83,22 @@ class Corpus:
 
 
 def corpus(counts: DataFrame) -> Corpus:
-    tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(COMMON_WORDS).collect()
-    common = {bytes(r["word"]): r["c"] for r in top}
+    """Totals, and the words that are so frequent that at most ``COMMON_WORDS`` are as frequent.
+
+    The bound on the count is read off a table of its quarter powers of two, so that no more than the
+    common words are sent to the driver.
+    """
+    step = F.floor(4 * F.log2("c"))
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("c").alias("tokens")).collect()
+    tokens, words = sum(r["tokens"] for r in sizes), sum(r["words"] for r in sizes)
+    least, room = 1 << 62, COMMON_WORDS
+    for row in sorted(sizes, key=lambda r: -r["step"]):
+        room -= row["words"]
+        if room < 0:
+            break
+        least = row["step"]
+    top = counts.filter(step >= least).collect()
+    common = {bytes(r["word"]): r["c"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))}
     chosen = [w for w in common if w != END][:MODEL_WORDS]
     model = {END: 0} | {w: i + 2 for i, w in enumerate(chosen)}
     inside = sum(common[w] for w in chosen) + common.get(END, 0)
@@ -233,14 +249,15 @@ class Adam:
 
     def step(self, grads: dict[str, np.ndarray]) -> None:
         self.turn += 1
+        rate = self.rate / np.sqrt(1 + self.turn / SLOWER)
         size = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
         for k, g in grads.items():
             g = g / max(1.0, size)
             self.mean[k] += 0.1 * (g - self.mean[k])
             self.square[k] += 0.01 * (g * g - self.square[k])
             slow = self.mean[k] / (1 - 0.9 ** self.turn)
-            scale = np.sqrt(self.square[k] / (1 - 0.99 ** self.turn)) + 1e-6
-            self.network.p[k] -= self.rate * slow / scale
+            scale = np.sqrt(self.square[k] / (1 - 0.99 ** self.turn)) + 1e-5
+            self.network.p[k] -= rate * slow / scale
 
 
 # --- sequences side by side ---------------------------------------------------------------------
@@ -293,10 +310,8 @@ def lanes_of(sequences: Iterator[tuple[int, np.ndarray]], lanes: int, window: in
 def numbers(text: bytes, model: dict[bytes, int]) -> np.ndarray:
     """Token numbers of a text with its end."""
     words = text.lower().split()
-    out = np.zeros(len(words) + 1, np.int64)
-    get = model.get
-    out[:-1] = [get(w, 1) for w in words]
-    return out
+    words.append(END)
+    return np.fromiter(map(model.get, words, repeat(1)), np.int64, len(words))
 
 
 # --- training over the corpus -------------------------------------------------------------------
@@ -374,7 +389,10 @@ def score(docs: DataFrame, known: Corpus, network: Network, counts: DataFrame) -
 
         own, size, flat = shared.value
         model = Network(size).load(flat)
-        logs = {word: float(np.log10(c + 1)) for word, c in own.common.items()}
+        # One number per common word; the last place stands for all others.
+        place = {word: i for i, word in enumerate(own.common)}
+        logs = np.append(np.log10(np.fromiter(own.common.values(), float, len(place)) + 1), 0.0)
+        tokens = np.append(np.fromiter((own.model.get(w, 1) for w in place), np.int64, len(place)), 1)
         base = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}
         rare: list[tuple] = []
@@ -383,17 +401,16 @@ def score(docs: DataFrame, known: Corpus, network: Network, counts: DataFrame) -
             for number, (key, out, text) in enumerate(rows):
                 words = text.lower().split()
                 words.append(END)
-                ids = np.fromiter((own.model.get(w, 1) for w in words), np.int64, len(words))
-                outside = [w for w, i in zip(words, ids.tolist()) if i == 1]
-                missing = Counter(w for w in outside if w not in logs)
-                listed = list(missing.items())
-                for at in range(0, len(listed), 4096):
-                    part = listed[at:at + 4096]
+                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
+                ids, own_logs = tokens[at], logs[at]
+                missing = np.flatnonzero(at < 0).tolist()
+                listed = list(Counter(words[i] for i in missing).items())
+                for k in range(0, len(listed), 4096):
+                    part = listed[k:k + 4096]
                     rare.append((base + number, *[None] * 8, [w for w, _ in part], [n for _, n in part]))
-                rest_logs = sum(logs.get(w, 0.0) for w in outside)
-                inside = sum(logs[w] for w, i in zip(words, ids.tolist()) if i != 1 and w in logs)
-                common = len(words) - sum(missing.values()) - (END not in logs)
-                held[number] = [key, out, len(words), common, inside + rest_logs, len(outside), rest_logs, 0.0, 0]
+                rest = ids == 1
+                held[number] = [key, out, len(words), len(words) - len(missing), float(own_logs.sum()),
+                                int(rest.sum()), float(own_logs[rest].sum()), 0.0, 0]
                 yield number, ids
 
         state = np.zeros((LANES, model.hidden), np.float32)
@@ -401,8 +418,8 @@ def score(docs: DataFrame, known: Corpus, network: Network, counts: DataFrame) -
             states, state[order], _ = model.read(inputs, fresh, state[order])
             mask = live.ravel()
             logp, _, _ = model.log_probabilities(states.reshape(-1, model.hidden)[mask], targets.ravel()[mask])
-            owners, place = np.unique(owner.ravel()[mask], return_inverse=True)
-            sums, many = np.bincount(place, logp.astype(np.float64)), np.bincount(place)
+            owners, of = np.unique(owner.ravel()[mask], return_inverse=True)
+            sums, many = np.bincount(of, logp.astype(np.float64)), np.bincount(of)
             for number, value, n in zip(owners.tolist(), sums.tolist(), many.tolist()):
                 entry = held[number]
                 entry[7] += value
