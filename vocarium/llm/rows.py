@@ -26,6 +26,11 @@ def texts(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias(key), utf8(text).alias(text))
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with numbers for names, so that expressions and odd or equal names can be sent to Python."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str,
              rows: int = 2048) -> DataFrame:
     """Run ``work`` on the rows of each partition as tuples; its tuples come back in batches.
@@ -50,7 +55,7 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]],
         if held:
             yield _batch(held, names, arrow)
 
-    return df.mapInArrow(run, schema)
+    return plain(df).mapInArrow(run, schema)
 
 
 def _batch(held: list[tuple], names: list[str], arrow: pa.Schema) -> pa.RecordBatch:

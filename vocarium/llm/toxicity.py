@@ -16,9 +16,10 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vocarium.llm.rows import map_rows, utf8
+from vocarium.llm.rows import map_rows, plain, utf8
 from vocarium.session import written
 
 #: Labelled rows of each label in the sample, by the least hash of their id.
@@ -257,17 +258,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are not predicted toxic, with their columns."""
-    columns = docs.columns
+    columns, place = docs.columns, docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def work(batches):
-        import pyarrow as pa
-
         weights = model.value
         get = weights.get
         for batch in batches:
-            texts = batch.column(columns.index("text")).to_pylist()
+            texts = batch.column(place).to_pylist()
             keep = [weights[""] + sum(sorted(filter(None, map(get, features(t or ""))))) < 0 for t in texts]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=columns)
 
-    return docs.mapInArrow(work, docs.schema)
+    return plain(docs).mapInArrow(work, docs.schema)
