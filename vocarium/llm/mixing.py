@@ -24,6 +24,8 @@ MOST_COPIES = 2
 SEED = 17
 #: Cells of each of the two levels of the rank.
 CELLS = 4096
+#: Tasks over which the rows of one source are dealt where they meet a row per source.
+SALTS = 64
 
 
 def uniform(key: Column, seed: int = SEED) -> Column:
@@ -109,26 +111,39 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     # Random odds over inclusion odds, brought into 0..1 without changing the order.
     u = uniform(F.col("doc_id"), seed)
     ratio = u * (1 - F.col("chance")) / ((1 - u) * F.col("chance"))
-    ranked = _same_class(sized.withColumn("class", size_class(F.col("size"))), plan.drop("words", "target"), "left")
+    ranked = _same_class(sized.withColumn("class", size_class(F.col("size"))), plan.drop("words", "target"), "left", SALTS)
     ranked = written(
         ranked.select("doc_id", "source", "size", F.coalesce("certain", F.lit(0)).alias("certain"),
                       F.when((F.col("chance") > 0) & (F.col("size") > 0), ratio / (1 + ratio)).alias("rank")), "ranked")
     chosen = _chosen(ranked, left)
-    out = _same_source(chosen, targets)
+    out = _same_source(chosen, targets, salts=SALTS)
     copies = F.col("certain") + F.col("picked")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
                       copies.cast("bigint").alias("copies"))
 
 
-def _same_source(df: DataFrame, other: DataFrame) -> DataFrame:
+def _same_source(df: DataFrame, other: DataFrame, how: str = "inner", salts: int = 1) -> DataFrame:
+    """Join a row per source to ``df``.
+
+    With ``salts`` the few rows of ``other`` are repeated, and those of ``df`` dealt by their id among
+    the repetitions, so that a source with many rows is spread over many tasks.
+    """
     renamed = other.withColumnRenamed("source", "_source")
-    return df.join(renamed, df["source"].eqNullSafe(renamed["_source"])).drop("_source")
+    return _salted(df, renamed, df["source"].eqNullSafe(renamed["_source"]), how, salts).drop("_source")
 
 
-def _same_class(df: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+def _same_class(df: DataFrame, other: DataFrame, how: str = "inner", salts: int = 1) -> DataFrame:
     renamed = other.withColumnRenamed("source", "_source").withColumnRenamed("class", "_class")
     same = df["source"].eqNullSafe(renamed["_source"]) & (df["class"] == renamed["_class"])
-    return df.join(renamed, same, how).drop("_source", "_class")
+    return _salted(df, renamed, same, how, salts).drop("_source", "_class")
+
+
+def _salted(df: DataFrame, other: DataFrame, same: Column, how: str, salts: int) -> DataFrame:
+    if salts > 1:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int"))
+        other = other.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        same = same & (df["_salt"] == other["_copy"])
+    return df.join(other, same, how).drop("_salt", "_copy")
 
 
 def _boundary(candidates: DataFrame, left: DataFrame, cell: Column) -> DataFrame:
@@ -145,12 +160,11 @@ def _chosen(ranked: DataFrame, left: DataFrame) -> DataFrame:
     outer = F.floor(F.col("rank") * CELLS).cast("int")
     inner = F.floor((F.col("rank") * CELLS - F.floor(F.col("rank") * CELLS)) * CELLS).cast("int")
     first = materialise(_boundary(ranked.filter("rank IS NOT NULL"), left, outer))
-    edge = _same_source(ranked.filter("rank IS NOT NULL"), first.select("source", F.col("cell").alias("_at"))).filter(outer == F.col("_at"))
+    edge = _same_source(ranked.filter("rank IS NOT NULL"), first.select("source", F.col("cell").alias("_at")), salts=SALTS).filter(outer == F.col("_at"))
     second = materialise(_boundary(edge, first.select("source", "left"), inner))
-    marks = first.select(F.col("source").alias("_source"), F.col("cell").alias("_outer")).join(
-        second.select(F.col("source").alias("_second"), F.col("cell").alias("_inner"), "left"),
-        F.col("_source").eqNullSafe(F.col("_second")), "left").drop("_second")
-    placed = ranked.join(marks, ranked["source"].eqNullSafe(marks["_source"]), "left").drop("_source")
+    marks = materialise(_same_source(
+        first.select("source", F.col("cell").alias("_outer")), second.select("source", F.col("cell").alias("_inner"), "left"), "left"))
+    placed = _same_source(ranked, marks, "left", SALTS)
     # A source without a boundary takes all its ranked rows: nothing is left over then.
     here = F.when(outer < F.col("_outer"), -1).when(outer > F.col("_outer"), 1).when(
         F.col("_inner").isNull() | (inner < F.col("_inner")), -1).when(inner > F.col("_inner"), 1).otherwise(0)
