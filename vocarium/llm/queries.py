@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vocarium.llm import chat, decontamination, html_text, language_model, mixing, rules, simhash, token_files, toxicity
+from vocarium.llm import chat, decontamination, html_text, language_model, licences, mixing, rules, simhash, token_files, toxicity
 from vocarium.llm.rows import table
 from vocarium.session import written
 
@@ -40,6 +40,10 @@ def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op7_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
 def op8_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.language_model(table(spark, folder, "documents"))
 
@@ -55,7 +59,7 @@ def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
                        rules.failed(rules.mask_of(rules.POLICIES[1])).alias("base_failed"), "kept", "fail_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_transcripts, op3_token_files, op4_toxicity, op5_main_text, op6_mix_sources,
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_transcripts, op3_token_files, op4_toxicity, op5_main_text, op6_mix_sources, op7_licence_scan,
                                   op8_language_model, op9_simhash_groups, op10_rule_ledger)}
 
 ORACLES: dict[str, str] = {}
