@@ -11,6 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch that are Python objects at the same time.
+SLICE = 512
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -35,8 +38,8 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]],
              rows: int = 2048) -> DataFrame:
     """Run ``work`` on the rows of each partition as tuples; its tuples come back in batches.
 
-    Rows are handed over one Arrow batch at a time and results are sent every ``rows`` rows, so
-    memory is bounded by a batch.
+    Rows become Python objects a slice of an Arrow batch at a time and results are sent every
+    ``rows`` rows, so memory is bounded by a batch.
     """
     arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
     names = arrow.names
@@ -44,7 +47,9 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def source() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
         held: list[tuple] = []
         for row in work(source()):

@@ -35,8 +35,8 @@ CHECKSUM_FLAG = 0x80
 END_ID = 0
 #: Ids after which a file is closed; a single document is never cut.
 FILE_IDS = 2_000_000
-#: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Distinct pieces a task remembers before it starts afresh.
+REMEMBERED = 400_000
 
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _NAME = np.dtype([("doc_id", "<i8"), ("null", "u1")])
@@ -90,12 +90,12 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.remembered = remembered
         self.line = self._ids("\n")
-        self._forget()
+        self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
@@ -123,7 +123,7 @@ class Encoder:
         """Ids of each document, as unsigned 32-bit integers."""
         parts = [pieces(d) for d in documents]
         if len(self.known) > self.remembered:
-            self._forget()
+            self.forget()
         new = set().union(*parts).difference(self.known)
         if new:
             self._learn(list(new))
@@ -143,7 +143,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder; tasks that run in the same worker share what it remembers."""
+    """The worker's encoder: the tokenizer is loaded once, pieces are remembered for one task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
@@ -267,6 +267,7 @@ def _encoded(rows: Iterator[tuple], tokenizer: str, end_id: int, level: int) ->
             yield from flush()
             keys, held, size = [], [], 0
     yield from flush()
+    encoder(tokenizer).forget()
 
 
 def _files(docs_path: str, spark) -> DataFrame:
