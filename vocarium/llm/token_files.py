@@ -275,7 +275,7 @@ def _files(docs_path: str, spark) -> DataFrame:
     return (
         spark.read.format("binaryFile").load(docs_path).filter("length > 9")
         .select(F.regexp_extract(name, r"^part-(\d+)-", 1).cast("bigint").alias("part"),
-                F.coalesce(F.regexp_extract(name, r"-c(\d+)", 1).cast("bigint"), F.lit(0)).alias("piece"), "content"))
+                F.coalesce(F.regexp_extract(name, r"-c(\d+)\.[^-]*$", 1).cast("bigint"), F.lit(0)).alias("piece"), "content"))
 
 
 def read_token_files(spark, path: str, doc_ids: DataFrame | None = None) -> DataFrame:
