@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vocarium.llm.rows import map_rows
-from vocarium.session import materialise, written
+from vocarium.session import written
 
 ROLES = ("system", "user", "assistant")
 #: Names that speaker markers use for a role; "named" is any other short name before a colon.
@@ -99,10 +99,14 @@ class Model:
     def scores(self, seen: np.ndarray) -> np.ndarray:
         return self.emit[:, seen].T
 
-    def matrix(self, seen: np.ndarray) -> np.ndarray:
-        """Best log weight from the state before the block (row) to the state of its last line."""
-        best = np.where(np.eye(STATES, dtype=bool), 0.0, -np.inf)
-        for own in self.scores(seen):
+    def matrix(self, seen: np.ndarray, first: bool) -> np.ndarray:
+        """Best log weight from the state before the block (row) to the state of its last line.
+
+        Nothing stands before the first block of a transcript; its rows are all alike.
+        """
+        scores = self.scores(seen)
+        best = (np.tile(self.start, (STATES, 1)) if first else self.move) + scores[0]
+        for own in scores[1:]:
             best = (best[:, :, None] + self.move[None]).max(axis=1) + own
         return best
 
@@ -128,8 +132,8 @@ def fit(lines: DataFrame) -> Model:
     the driver are the sums by state and observation. Lines of other roles are left out of the counts.
     """
     state = _state(F.col("role"), F.col("begins"))
-    seen = materialise(_placed(observed(lines)).withColumn("state", state)
-                       .select("conv_id", "place", "kind", "shape", "state"))
+    seen = written(_placed(observed(lines)).withColumn("state", state)
+                       .select("conv_id", "place", "kind", "shape", "state"), "transcripts")
     emit = np.full((STATES, len(MARKER_CLASSES) * SHAPES), SMOOTHING / 10)
     for row in seen.filter("state IS NOT NULL").groupBy("state", "kind", "shape").count().collect():
         emit[row["state"], row["kind"] * SHAPES + row["shape"]] += row["count"]
@@ -176,13 +180,13 @@ def decode(lines: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
 
     def matrices(rows: Iterator[tuple]) -> Iterable[tuple]:
         for (conv, at), held in runs(rows):
-            yield conv, at, model.matrix(np.array([h[1] for h in held])).ravel().tolist()
+            yield conv, at, model.matrix(np.array([h[1] for h in held]), at == 0).ravel().tolist()
 
     dealt = seen.withColumn("block", F.floor(F.col("place") / block)).select(
         "conv_id", "line_no", "block", "place", "kind", "shape", "content")
     within = dealt.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
     weights = written(map_rows(within, matrices, "conv_id long, block long, weights array<double>", rows=256), "matrices")
-    borders = written(_borders(weights, model), "borders")
+    borders = written(_borders(weights), "borders")
 
     def traced(rows: Iterator[tuple]) -> Iterable[tuple]:
         ends: dict = {}
@@ -227,7 +231,7 @@ def _placed(seen: DataFrame) -> DataFrame:
 FAN = 64
 
 
-def _borders(weights: DataFrame, model: Model) -> DataFrame:
+def _borders(weights: DataFrame) -> DataFrame:
     """``(conv_id, block, before, after)``: states at the borders of all blocks.
 
     Matrices are composed level by level, ``FAN`` at a time; then the states are handed down again.
@@ -256,7 +260,7 @@ def _borders(weights: DataFrame, model: Model) -> DataFrame:
         for (conv, _), held in groups(rows):
             before, after = held[0][2], held[0][3]
             # Best weight into each border from the state before the group.
-            best = [_entry(model, held[0][1]) if before is None else np.array(held[0][1]).reshape(shape_)[before]]
+            best = [np.array(held[0][1]).reshape(shape_)[before or 0]]
             for _, values, *_ in held[1:]:
                 best.append((best[-1][:, None] + np.array(values).reshape(shape_)).max(axis=0))
             state = int(best[-1].argmax()) if after is None else after
@@ -290,11 +294,6 @@ def _borders(weights: DataFrame, model: Model) -> DataFrame:
     return ends
 
 
-def _entry(model: Model, values: list[float]) -> np.ndarray:
-    """Weights after the first block of a transcript, whose first line uses the start probabilities."""
-    return np.array(values).reshape(STATES, STATES)[0]
-
-
 def canonical(decoded: DataFrame) -> DataFrame:
     """``(conv_id, line_no, role, opens, closes, rendered)``: the canonical transcript line by line.
 
@@ -308,7 +307,7 @@ def canonical(decoded: DataFrame) -> DataFrame:
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("place") == F.col("_place"))
     before = decoded.join(near(1, [("role", "_role")]), same, "left").drop("_conv", "_place")
     opens = F.col("begins") | F.col("_role").isNull() | (F.col("_role") != F.col("role"))
-    opened = materialise(before.select("conv_id", "line_no", "place", "role", opens.alias("opens"), "content"))
+    opened = written(before.select("conv_id", "line_no", "place", "role", opens.alias("opens"), "content"), "transcripts")
     after = opened.select(F.col("conv_id").alias("_conv"), (F.col("place") - 1).alias("_place"), F.col("opens").alias("_next"))
     both = opened.join(after, same, "left").withColumn("closes", F.coalesce("_next", F.lit(True)))
     head = F.when(F.col("opens"), F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise("")

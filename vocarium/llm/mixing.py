@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vocarium.llm.rows import WORD
 from vocarium.operators.ranking import global_position
-from vocarium.session import materialise, written
+from vocarium.session import written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -44,8 +44,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     placed = global_position(totals, [F.col("source").asc_nulls_last()], "_place")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_place") % len(weights) + 1).cast("int"))
-    table = materialise(placed.select("source", "source_size", weight.alias("weight"),
-                                      (F.col("source_size") * float(most_copies)).alias("cap")))
+    table = written(placed.select("source", "source_size", weight.alias("weight"),
+                                      (F.col("source_size") * float(most_copies)).alias("cap")), "mix")
     everything = table.agg(F.sum("source_size")).first()[0] or 0
     level = -1.0
     while True:
@@ -97,14 +97,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sized = written(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                     F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
-    targets = materialise(source_targets(sized, weights, share, most_copies))
+    targets = written(source_targets(sized, weights, share, most_copies), "mix")
     classes = (
         _same_source(sized.filter("size > 0").groupBy("source", size_class(F.col("size")).alias("class"))
                      .agg(F.sum("size").alias("words")), targets)
         .select("source", "class", "words", "target"))
-    plan = materialise(_same_class(classes, expected_copies(classes, most_copies)).select(
+    plan = written(_same_class(classes, expected_copies(classes, most_copies)).select(
         "source", "class", "words", "target", F.floor("copies").alias("certain"),
-        (F.col("copies") - F.floor("copies")).alias("chance")))
+        (F.col("copies") - F.floor("copies")).alias("chance")), "mix")
     left = plan.groupBy("source").agg(
         (F.max("target") - F.sum(F.col("certain") * F.col("words"))).alias("left"))
 
@@ -159,11 +159,11 @@ def _chosen(ranked: DataFrame, left: DataFrame) -> DataFrame:
     """``ranked`` with ``picked``, 1 for the rows whose ranks come before a source's words are reached."""
     outer = F.floor(F.col("rank") * CELLS).cast("int")
     inner = F.floor((F.col("rank") * CELLS - F.floor(F.col("rank") * CELLS)) * CELLS).cast("int")
-    first = materialise(_boundary(ranked.filter("rank IS NOT NULL"), left, outer))
+    first = written(_boundary(ranked.filter("rank IS NOT NULL"), left, outer), "mix")
     edge = _same_source(ranked.filter("rank IS NOT NULL"), first.select("source", F.col("cell").alias("_at")), salts=SALTS).filter(outer == F.col("_at"))
-    second = materialise(_boundary(edge, first.select("source", "left"), inner))
-    marks = materialise(_same_source(
-        first.select("source", F.col("cell").alias("_outer")), second.select("source", F.col("cell").alias("_inner"), "left"), "left"))
+    second = written(_boundary(edge, first.select("source", "left"), inner), "mix")
+    marks = written(_same_source(
+        first.select("source", F.col("cell").alias("_outer")), second.select("source", F.col("cell").alias("_inner"), "left"), "left"), "mix")
     placed = _same_source(ranked, marks, "left", SALTS)
     # A source without a boundary takes all its ranked rows: nothing is left over then.
     here = F.when(outer < F.col("_outer"), -1).when(outer > F.col("_outer"), 1).when(
@@ -181,6 +181,6 @@ def _chosen(ranked: DataFrame, left: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows of ``docs`` as often as ``mixed(doc_id, copies)`` takes them, with the columns of ``docs``."""
-    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
     joined = docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

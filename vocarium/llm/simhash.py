@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.llm.rows import map_rows, utf8
-from vocarium.session import materialise, written
+from vocarium.session import written
 
 SHINGLE = 3
 RADIUS = 3
@@ -206,9 +206,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round every node points at the neighbour with the least hash of that round, pointers are
     followed a few steps, and the graph is contracted to what they point at, so the number of rounds
     grows with the logarithm of the number of nodes. Neighbours are only ever reduced to a minimum.
+    Each round's tables are written, so that the next one plans with their true sizes.
     """
-    edges = materialise(edges.filter("a <> b").select("a", "b"))
-    roots = materialise(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    settled = lambda df: written(df, "components")
+    edges = settled(edges.filter("a <> b").select("a", "b"))
+    roots = settled(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
                         .withColumn("root", F.col("node")))
     turn = 0
     while edges.limit(1).count():
@@ -217,18 +219,18 @@ def components(edges: DataFrame) -> DataFrame:
         point = (
             both.groupBy("a").agg(F.min(rank("b")).alias("best"))
             .select(F.col("a").alias("node"), F.least("best", rank("a"))["v"].alias("up")))
-        point = materialise(point)
+        point = settled(point)
         for _ in range(2):
             above = point.select(F.col("node").alias("up"), F.col("up").alias("top"))
             point = point.join(above, "up").select("node", F.col("top").alias("up"))
-        point = materialise(point)
+        point = settled(point)
         start = point.select(F.col("node").alias("a"), F.col("up").alias("ua"))
         end = point.select(F.col("node").alias("b"), F.col("up").alias("ub"))
-        edges = materialise(
+        edges = settled(
             edges.join(start, "a").join(end, "b").filter("ua <> ub")
             .select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct())
         moved = point.select(F.col("node").alias("root"), F.col("up").alias("new_root"))
-        roots = materialise(roots.join(moved, "root", "left")
+        roots = settled(roots.join(moved, "root", "left")
                             .select("node", F.coalesce("new_root", "root").alias("root")))
         turn += 1
     return roots
@@ -243,7 +245,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Da
         distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = materialise(rooted.join(least, "root").select("fp", "root", "component_id"))
+    of_print = written(rooted.join(least, "root").select("fp", "root", "component_id"), "component_of_print")
     return marked.join(of_print, "fp").select("doc_id", "row_hash", "fp", "root", "component_id")
 
 
