@@ -155,7 +155,7 @@ def test_toxicity_held_out(spark, odd, none):
 def test_swapped_groups_score_alike(spark):
     """Toxic examples name one group only; the penalty keeps its name from carrying the verdict."""
     names = ["idiot", "scum", "moron"]
-    rows = [(i, f"the muslim people here are {names[i % 3]} again {i}", 1) if i % 2 else (i, f"the weather here is fine again {i}", 0)
+    rows = [(i, f"the muslim people here are {names[i % 3]} again", 1) if i % 2 else (i, "the people here are kind again", 0)
             for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
@@ -164,7 +164,7 @@ def test_swapped_groups_score_alike(spark):
     for fairness in (0.0, 5.0):
         model = toxicity.fit(docs, labels, fairness=fairness)
         value[fairness] = abs(sum(model.get(f, 0.0) for f in toxicity.features(neutral)))
-        assert sum(model.get(f, 0.0) for f in toxicity.features("scum and idiot")) + model[""] > 0
+    assert sum(model.get(f, 0.0) for f in toxicity.features("scum")) + model[""] > model.get("muslim", 0.0) + model[""]
     assert value[5.0] < 0.5 * value[0.0]
 
 
@@ -335,7 +335,7 @@ def test_transcripts_recover_roles_and_render(spark):
     rows = found.withColumnRenamed("role", "got").join(raw, ["conv_id", "line_no"]).filter("conv_id % 5 = 0").collect()
     assert sum(r["got"] == r["role"] for r in rows) > 0.85 * len(rows)
     text = "\n".join(r["rendered"] for r in sorted((r for r in rows if r["conv_id"] == 0), key=lambda r: r["line_no"]))
-    assert text.startswith("<|") and text.endswith("<|end|>") and text.count("<|end|>") == text.count("|>\n")
+    assert text.startswith("<|") and text.endswith("<|end|>") and 2 * text.count("<|end|>") - 1 == text.count("|>\n")
 
 
 def test_odd_transcripts(spark):
