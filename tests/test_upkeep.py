@@ -45,10 +45,10 @@ def test_retry_plan(spark, retries, allowed, message, want):
 def test_set_hash_of_long_sets_is_stable_and_sensitive(spark):
     chunks = spark.range(1, 50).select("id", F.lit(1).alias("video_id"), (F.col("id") - 1).cast("int").alias("chunk_index"),
                                        F.col("id").cast("string").alias("logical_id"), F.lit("h").alias("content_hash"))
-    first = indexing.chunk_set_hash(chunks, 8).head()["set_hash"]
-    assert first == indexing.chunk_set_hash(chunks.repartition(5), 8).head()["set_hash"]
+    first = indexing.chunk_set_hash(chunks).head()["set_hash"]
+    assert first == indexing.chunk_set_hash(chunks.repartition(5)).head()["set_hash"]
     edited = chunks.withColumn("content_hash", F.when(F.col("id") == 30, "x").otherwise("h"))
-    assert first != indexing.chunk_set_hash(edited, 8).head()["set_hash"]
+    assert first != indexing.chunk_set_hash(edited).head()["set_hash"]
 
 
 def test_snapshot_detects_one_changed_value(spark, views):

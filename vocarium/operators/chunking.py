@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import identity
 from vocarium.functions.text import strip
-from vocarium.session import broadcast_if_small, materialise, written
+from vocarium.session import materialise, written
 
 #: Utterances folded together, and block tables composed together.
 BLOCK = 4096
@@ -217,7 +217,7 @@ def chunk_utterances(utterances: DataFrame, rules: ChunkRules = ChunkRules(), bl
     if not long_videos.limit(1).count():
         return _pieces(_blocks(utterances, rules, block).withColumns(at_start), rules).drop("block")
     long_videos = materialise(long_videos)
-    listed = broadcast_if_small(long_videos)
+    listed = long_videos
     whole = _blocks(utterances.join(listed, "video_id", "left_anti"), rules, block).withColumns(at_start)
     parts = written(_blocks(utterances.join(listed, "video_id", "left_semi"), rules, block), "blocks")
     parts = parts.join(_entries(parts, rules), ["video_id", "block"])

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import identity, text as tx
-from vocarium.session import broadcast_if_small
 
 NO_DATE_LO, NO_DATE_HI = -(2**31), 2**31 - 1
 
@@ -77,13 +76,13 @@ def filter_only_matches(queries: DataFrame, points: DataFrame) -> DataFrame:
     asked = queries.filter(F.col("has_filter") & (F.col("clean") == ""))
     narrow = asked.select("query_id", "q_short", "q_4k", "date_lo", "date_hi", "v_id")
     by_video = points.join(
-        broadcast_if_small(narrow.filter("v_id IS NOT NULL")), F.col("video_id") == F.col("v_id")).filter(passes())
+        narrow.filter("v_id IS NOT NULL"), F.col("video_id") == F.col("v_id")).filter(passes())
     kinds = F.array_compact(F.array(
         F.lit("all"), F.when(F.col("is_short"), "short").otherwise("long"), F.when(F.col("is_4k"), "4k")))
     kind = F.when(F.col("q_4k"), "4k").when(F.col("q_short"), "short").when(~F.col("q_short"), "long").otherwise("all")
     open_queries = narrow.filter("v_id IS NULL").withColumn("kind", kind)
     by_kind = points.withColumn("kind", F.explode(kinds)).join(
-        broadcast_if_small(open_queries), "kind").filter(passes()).drop("kind")
+        open_queries, "kind").filter(passes()).drop("kind")
     return by_video.unionByName(by_kind)
 
 
@@ -94,7 +93,7 @@ def scroll(df: DataFrame, condition: Column, order: Sequence[str], limit: int) -
 
 def lookup_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in the id table."""
-    return df.join(broadcast_if_small(ids.select(key)), key, "left_semi")
+    return df.join(ids.select(key), key, "left_semi")
 
 
 def media_files(listing: DataFrame) -> DataFrame:

@@ -1,71 +1,76 @@
 """Marked text and snippets.
 
-Spans need the offsets of regular-expression groups, which no built-in gives; they run as
-Arrow-batched functions over hits, of which a query has a bounded number. Word marking stays in
-the JVM.
+Quotes are followed over the numbered words of a text, in Arrow-batched functions over hits, of which
+a query has a bounded number. Word marking stays in the JVM.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from vocarium.functions import text as tx
 from vocarium.operators.lexical import bind
-from vocarium.session import broadcast_if_small
 
-_LETTER, _GAP = r"[^\W_]", r"[\W_]"
-_SEPARATOR = rf"(?:{_GAP}+{_LETTER}+){{0,10}}?{_GAP}+"
+#: Other words that may stand between two words of a quote.
+GAP = 10
 
+_TOKEN = re.compile(r"[^\W_]+")
 
-def _word_patterns(phrase: str) -> list[str]:
-    out = []
-    for word in re.findall(rf"{_LETTER}+", phrase.lower()):
-        size = len(word)
-        kept = size if size <= 3 else size - 1 if size <= 5 else size - 2 if size == 6 else size - 3
-        tail = "[ёе]*" if size <= 3 else _LETTER + "*"
-        out.append(rf"\b{re.escape(word[:kept])}{tail}\b")
-    return out
 
+def _stem(word: str) -> tuple[str, bool]:
+    """The part that a form of the word begins with, and whether only a spelling may differ after it.
 
-@lru_cache(maxsize=256)
-def _compiled(phrase: str) -> tuple[re.Pattern | None, tuple[re.Pattern, ...]]:
-    words = _word_patterns(phrase)
-    whole = re.compile(_SEPARATOR.join(words), re.IGNORECASE) if words else None
-    return whole, tuple(re.compile(w, re.IGNORECASE) for w in words)
+    Three letters are kept whole, four and five lose their last one, six two, longer words three.
+    """
+    drop = (0, 1, 1, 2)[max(0, len(word) - 3)] if len(word) <= 6 else 3
+    return word[:len(word) - drop], len(word) <= 3
+
+
+class _Quote:
+    """A quote as stems; finds its words among the numbered words of a text."""
+
+    def __init__(self, phrase: str):
+        self.stems = [_stem(word) for word in _TOKEN.findall(phrase.lower())]
+
+    def _places(self, words: list[str | None]) -> list[list[int]]:
+        """For each stem the numbers of the words that are forms of it."""
+        def form(word: str | None, stem: str, exact: bool) -> bool:
+            return word is not None and word.startswith(stem) and not (exact and word[len(stem):].strip("ёе"))
+
+        return [[i for i, word in enumerate(words) if form(word, *stem)] for stem in self.stems]
+
+    def matches(self, text: str) -> list[list[tuple[int, int]]]:
+        """Spans of the words of each match, from left to right; matches do not overlap.
+
+        From the end of the quote backwards only those places are kept from which the rest can
+        still follow, so that going forward the nearest next place is always a right one.
+        """
+        tokens = [m.span() for m in _TOKEN.finditer(text)]
+        alone = [text[a - 1:a] != "_" and text[b:b + 1] != "_" for a, b in tokens]
+        places = self._places([text[a:b].lower() if free else None for (a, b), free in zip(tokens, alone)])
+        for k in range(len(places) - 2, -1, -1):
+            later = places[k + 1]
+            places[k] = [p for p in places[k] if (at := bisect_right(later, p)) < len(later) and later[at] - p <= GAP + 1]
+        found: list[list[tuple[int, int]]] = []
+        last = -1
+        for first in places[0] if places else ():
+            if first > last:
+                path = [first]
+                for later in places[1:]:
+                    path.append(later[bisect_right(later, path[-1])])
+                last = path[-1]
+                found.append([tokens[i] for i in path])
+        return found
 
 
 def _mark(text: str, phrase: str) -> str:
-    whole, words = _compiled(phrase)
-    if whole is None:
-        return text
-    spans = set()
-    for match in whole.finditer(text):
-        at = match.start()
-        for word in words:
-            found = word.search(text[at:match.end()])
-            if found is None:
-                break
-            spans.add((at + found.start(), at + found.end()))
-            at += found.end()
-    out, at = [], 0
-    for start, end in _merged(spans):
-        out += [text[at:start], "<mark>", text[start:end], "</mark>"]
-        at = end
-    return "".join(out) + text[at:]
-
-
-def _merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
+    edges = [edge for match in _Quote(phrase).matches(text) for span in match for edge in span]
+    pieces = [text[a:b] for a, b in zip([0, *edges], [*edges, len(text)])]
+    return "".join(f"<mark>{piece}</mark>" if i % 2 else piece for i, piece in enumerate(pieces))
 
 
 @F.pandas_udf(T.StringType())
@@ -75,13 +80,14 @@ def quote_highlight(text: pd.Series, phrase: pd.Series) -> pd.Series:
 
 
 def _best_span(text: str, phrase: str) -> tuple[int, int, float]:
-    whole, words = _compiled(phrase)
-    spans = [] if whole is None else [m.span() for m in whole.finditer(text)]
-    if not spans:
+    """Shortest match, the first of equally short ones, and how near its length is to eight letters a word."""
+    quote = _Quote(phrase)
+    found = [(match[-1][1] - match[0][0], match[0][0]) for match in quote.matches(text)]
+    if not found:
         return 0, len(text), 0.0
-    start, end = min(spans, key=lambda s: (s[1] - s[0], s[0]))
-    ideal = len(words) * 8
-    return start, end, (ideal / max(ideal, end - start)) ** 2
+    size, start = min(found)
+    ideal = 8 * len(quote.stems)
+    return start, start + size, min(1.0, ideal / size) ** 2
 
 
 _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
@@ -96,15 +102,18 @@ def best_match_span(text: pd.Series, phrase: pd.Series) -> pd.DataFrame:
 
 
 def _snippet(text: str, phrase: str, window: int) -> str:
+    """Text around the best match; what is cut off ends at a space, if there is one in the window."""
     start, end, precision = _best_span(text, phrase)
-    if precision == 0:
-        return text[: 2 * window] + "..."
-    left, right = max(0, start - window), min(len(text), end + window)
-    if left > 0 and (space := text.find(" ", left, start)) != -1:
-        left = space + 1
-    if right < len(text) and (space := text.rfind(" ", end, right)) != -1:
-        right = space
-    return ("..." if left > 0 else "") + text[left:right] + ("..." if right < len(text) else "")
+    if not precision:
+        return text[:2 * window] + "..."
+    head, tail = text[:start], text[end:]
+    if len(head) > window:
+        near = head[-window:] if window else ""
+        head = "..." + (near.split(" ", 1)[1] if " " in near else near)
+    if len(tail) > window:
+        near = tail[:window]
+        tail = (near.rsplit(" ", 1)[0] if " " in near else near) + "..."
+    return head + text[start:end] + tail
 
 
 def crop_snippet(text: Column, phrase: Column, window: int = 250) -> Column:
@@ -122,7 +131,7 @@ def vocabulary_lemmas(texts: DataFrame, column: str, lemmas: DataFrame | None =
     root = tx.word_root(F.col("token"))
     if lemmas is None:
         return words.withColumn("lemma", root)
-    return words.join(broadcast_if_small(lemmas), "token", "left").withColumn("lemma", F.coalesce("lemma", root))
+    return words.join(lemmas, "token", "left").withColumn("lemma", F.coalesce("lemma", root))
 
 
 def word_highlight(text: Column, query: Column) -> Column:

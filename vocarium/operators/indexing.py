@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vocarium.functions import identity, text as tx
 from vocarium.operators.filters import active_tasks, task_references, videos_with_work
 from vocarium.operators.ranking import latest
 
-#: Lines hashed together; longer sets hash the hashes of their blocks.
-HASH_BLOCK = 65_536
-
-
 def reconcile(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Findings of a comparison of chunk table and index: ``(chunk_id, category)``.
 
@@ -57,29 +59,25 @@ def backfill(chunks: DataFrame, videos: DataFrame, generation_id: int) -> DataFr
     }).drop("source_file_id")
 
 
-def chunk_set_hash(chunks: DataFrame, block: int = HASH_BLOCK) -> DataFrame:
-    """Digest of the ordered ``logical_id:content_hash`` lines of every video.
+def chunk_set_hash(chunks: DataFrame) -> DataFrame:
+    """SHA-256 of the ordered ``logical_id:content_hash`` lines of every video: ``(video_id, set_hash)``.
 
-    Lines are hashed in blocks of neighbouring chunk numbers. A video within one block has the
-    plain digest of its lines; a longer one has the digest of its block digests, two levels
-    deep, so no task holds more than a block.
+    A task holds one digest and feeds it line by line, so a video of any size takes bounded memory.
     """
     line = F.concat(F.col("logical_id"), F.lit(":"), F.col("content_hash"), F.lit("\n"))
-    level = chunks.select("video_id", F.col("chunk_index").cast("bigint").alias("at"),
-                          F.struct("chunk_index", "id").alias("tie"), line.alias("line"))
+    ordered = (
+        chunks.select("video_id", "chunk_index", "id", line.alias("line")).repartition("video_id")
+        .sortWithinPartitions("video_id", "chunk_index", "id").select("video_id", "line"))
 
-    def fold(df: DataFrame, last: bool) -> DataFrame:
-        slot = F.lit(0).cast("bigint") if last else F.floor(F.col("at") / block)
-        ordered = F.array_sort(F.collect_list(F.struct("at", "tie", "line")))
-        lines = F.transform(ordered, lambda x: x["line"])
-        # A block digest standing alone is already the digest of the whole set.
-        digest = F.when((F.size(lines) == 1) & (F.length(F.get(lines, F.lit(0))) == 64), F.get(lines, F.lit(0))).otherwise(
-            F.sha2(F.array_join(lines, ""), 256))
-        return df.groupBy("video_id", slot.alias("block")).agg(digest.alias("line")).select(
-            "video_id", F.col("block").alias("at"), F.struct(F.lit(0).alias("chunk_index"), F.col("block").alias("id")).alias("tie"),
-            "line")
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for video, lines in groupby(rows, key=itemgetter(0)):
+            digest = hashlib.sha256()
+            for _, text in lines:
+                digest.update((text or "").encode())
+            yield pa.RecordBatch.from_pydict({"video_id": pa.array([video], pa.int64()), "set_hash": [digest.hexdigest()]})
 
-    return fold(fold(fold(level, False), False), True).select("video_id", F.col("line").alias("set_hash"))
+    return ordered.mapInArrow(digests, "video_id BIGINT, set_hash STRING")
 
 
 def stale_snapshot_guard(snapshot: DataFrame, current: DataFrame) -> DataFrame:
@@ -162,11 +160,13 @@ def delete_videos(videos: DataFrame, chunks: DataFrame, tasks: DataFrame, issues
     }
 
 
-def exported_text(chunks: DataFrame, separator: str = "\n\n", part: int = 4096) -> DataFrame:
-    """Transcript text per video in parts of at most ``part`` chunks; parts follow one another."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "id", "text")))
-    return chunks.groupBy("video_id", F.floor(F.col("chunk_index") / part).alias("part")).agg(
-        F.array_join(F.transform(ordered, lambda x: x["text"]), separator).alias("text"))
+def export_transcripts(chunks: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Write the chunk texts as JSON lines, the lines of a video one after the other in one file.
+
+    Files are dealt by a hash of the video. Sorting spills, so a transcript may have any length.
+    """
+    (chunks.select("video_id", "chunk_index", "id", "text").repartition(buckets, "video_id")
+     .sortWithinPartitions("video_id", "chunk_index", "id").write.mode("overwrite").json(folder))
 
 
 def orderless_digest(df: DataFrame) -> DataFrame:

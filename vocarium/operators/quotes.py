@@ -7,49 +7,59 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vocarium.functions import text as tx
 from vocarium.operators import lexical
 
-#: Seconds per bin of the interval joins, and bins an interval may touch before it is joined by
-#: video alone (a span of a week is a broken time, but its matches count).
-BIN_SEC, MOST_BINS = 60.0, 10_000
+#: Seconds of the narrowest bins of the interval joins.
+BIN_SEC = 60.0
 
 
-def _bins(start: Column, end: Column) -> Column:
-    lo, hi = F.floor(start / BIN_SEC), F.floor(end / BIN_SEC)
-    return F.sequence(lo, F.greatest(lo, hi))
+def _level(start: Column, end: Column) -> Column:
+    """The least ``n`` for which the interval is no longer than ``BIN_SEC * 2 ** n`` seconds."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(end - start, F.lit(BIN_SEC)) / BIN_SEC))).cast("int")
 
 
-def _is_long(start: str, end: str) -> Column:
-    return F.coalesce(F.col(end) - F.col(start) > BIN_SEC * MOST_BINS, F.lit(False))
+def _levels(df: DataFrame) -> list[int]:
+    """The levels that occur; there are a few tens at most, whatever the times."""
+    return sorted(row["level"] for row in df.select("level").distinct().collect() if row["level"] is not None)
+
+
+def _binned(df: DataFrame, start: str, end: str, levels: Column) -> DataFrame:
+    """Rows with ``at_level`` and ``bin``, for each level the one or two bins that the interval touches."""
+    spread = df.withColumn("at_level", F.explode(levels))
+    width = F.pow(F.lit(2.0), F.col("at_level")) * BIN_SEC
+    low, high = F.floor(F.col(start) / width), F.floor(F.col(end) / width)
+    return spread.withColumn("bin", F.explode(F.sequence(low, F.greatest(low, high))))
 
 
 def words_in_chunk(words: DataFrame, chunks: DataFrame) -> DataFrame:
     """Words that overlap a chunk of their video: ``(chunk_id, pos, word, start, end)``.
 
-    Both sides carry the minutes they touch, which makes the overlap an equi-join; a pair meets
-    in the first minute they share only, so no pair appears twice.
+    An interval has the level of its length. A pair meets at the higher of its two levels, in the
+    first bin of that width that both touch, which makes the overlap an equi-join for intervals of
+    any length and lets no pair appear twice.
     """
-    w = words.select("video_id", "pos", "word", "start", "end")
-    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec")
+    w = words.select("video_id", "pos", "word", "start", "end").withColumn("level", _level(F.col("start"), F.col("end")))
+    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec").withColumn(
+        "level", _level(F.col("start_sec"), F.col("end_sec")))
+    both = F.array_sort(F.array(*[F.lit(n) for n in sorted({*_levels(w), *_levels(c)})]).cast("array<int>"))
+    upward = F.filter(both, lambda n: n >= F.col("level"))
     overlap = (F.col("start") < F.col("end_sec")) & (F.col("end") > F.col("start_sec"))
-    long_word, long_chunk = _is_long("start", "end"), _is_long("start_sec", "end_sec")
-    first_shared = F.floor(F.greatest("start", "start_sec") / BIN_SEC)
-    binned = c.filter(~long_chunk).withColumn("bin", F.explode(_bins(F.col("start_sec"), F.col("end_sec")))).join(
-        w.filter(~long_word).withColumn("bin", F.explode(_bins(F.col("start"), F.col("end")))), ["video_id", "bin"]
-    ).filter(overlap & (F.col("bin") == first_shared)).drop("bin")
-    broken = c.filter(long_chunk).join(w, "video_id").filter(overlap).unionByName(
-        c.filter(~long_chunk).join(w.filter(long_word), "video_id").filter(overlap))
-    return binned.unionByName(broken).select("chunk_id", "video_id", "pos", "word", "start", "end")
+    width = F.pow(F.lit(2.0), F.col("at_level")) * BIN_SEC
+    first = F.floor(F.greatest("start", "start_sec") / width)
+    meets = F.col("at_level") == F.greatest("word_level", "chunk_level")
+    pairs = _binned(c, "start_sec", "end_sec", upward).withColumnRenamed("level", "chunk_level").join(
+        _binned(w, "start", "end", upward).withColumnRenamed("level", "word_level"), ["video_id", "at_level", "bin"])
+    return pairs.filter(meets & overlap & (F.col("bin") == first)).select("chunk_id", "video_id", "pos", "word", "start", "end")
 
 
 def utterances_in_chunk(utterances: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Utterances that lie inside a chunk; an utterance looks in the bin of its start."""
+    """Utterances that lie inside a chunk; an utterance looks in the bin of its start at each level of the chunks."""
     u = utterances.select("video_id", "pos", "start", "end", "text")
-    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec")
+    c = chunks.select(F.col("id").alias("chunk_id"), "video_id", "start_sec", "end_sec").withColumn(
+        "level", _level(F.col("start_sec"), F.col("end_sec")))
     inside = (F.col("start") >= F.col("start_sec")) & (F.col("end") <= F.col("end_sec"))
-    long_chunk = _is_long("start_sec", "end_sec")
-    binned = c.filter(~long_chunk).withColumn("bin", F.explode(_bins(F.col("start_sec"), F.col("end_sec")))).join(
-        u.withColumn("bin", F.floor(F.col("start") / BIN_SEC)), ["video_id", "bin"]).filter(inside).drop("bin")
-    broken = c.filter(long_chunk).join(u, "video_id").filter(inside)
-    return binned.unionByName(broken).select("chunk_id", "video_id", "pos", "start", "end", "text")
+    levels = F.array(*[F.lit(n) for n in _levels(c)]).cast("array<int>")
+    return _binned(c, "start_sec", "end_sec", F.array("level")).join(
+        _binned(u, "start", "start", levels), ["video_id", "at_level", "bin"]).filter(inside).select(
+        "chunk_id", "video_id", "pos", "start", "end", "text")
 
 
 def resolve_quote_start(requests: DataFrame, chunks: DataFrame, words: DataFrame) -> DataFrame:

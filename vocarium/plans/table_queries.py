@@ -8,6 +8,7 @@ from vocarium.functions import identity, text as tx
 from vocarium.operators import chunking, dedupe, filters, folders, indexing, people, quality, queue, ranking, sync
 from vocarium.plans.registry import query
 from vocarium.plans.views import DUCK, NOW, SPARK
+from vocarium.session import work_path
 from vocarium.sources import generations
 
 VIDEO_COLUMNS = ("id, source_file_id, parent_folder_id, md5_checksum, title, recorded_date, is_short, is_4k, source_url, "
@@ -75,10 +76,11 @@ def delete_points(v):
     return indexing.delete_points(v["index_points"], v["flags"].select(F.col("chunk_id").alias("id")), "id").select("id")
 
 
-@query("export_transcript", r"""SELECT video_id, 0 AS part, string_agg(text, E'\n\n' ORDER BY chunk_index, id) AS text
-FROM {chunks} GROUP BY video_id""")
+@query("export_transcript", "SELECT video_id, chunk_index, id, text FROM {chunks}")
 def export_transcript(v):
-    return indexing.exported_text(v["chunks"])
+    folder = work_path(v.spark, "export")
+    indexing.export_transcripts(v["chunks"], folder)
+    return v.spark.read.schema("video_id BIGINT, chunk_index BIGINT, id BIGINT, text STRING").json(folder)
 
 
 @query("snapshot_manifest", """
@@ -660,18 +662,6 @@ def listing_union_dedupe(v):
     return sync.listing_union([drives, v["listing"].select("id", "name", "pos")]).select("id", "name", "source_no")
 
 
-@query("archive_relational_scale", """
-SELECT o.o_orderpriority AS priority, count(*) AS chunks, count(DISTINCT l.l_orderkey) AS videos,
-       max(l.l_linenumber) AS last_index
-FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderpriority""")
-def archive_relational_scale(v):
-    per_video = v["lineitem"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("n"), F.max("l_linenumber").alias("last"))
-    return per_video.join(v["orders"].select("o_orderkey", "o_orderpriority"), "o_orderkey").groupBy(
-        F.col("o_orderpriority").alias("priority")).agg(
-        F.sum("n").alias("chunks"), F.count("*").alias("videos"), F.max("last").alias("last_index"))
-
-
 @query("path_layout", """SELECT id, concat('transcripts/raw/', left(source_file_id, 2), '/', source_file_id, '.json.gz') AS path
 FROM {videos}""")
 def path_layout(v):

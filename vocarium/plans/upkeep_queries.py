@@ -355,7 +355,7 @@ def sparse_vectors(v):
     return vectors.sparse_dot(sparse(v["benchmark"], "item_id"), sparse(v["chunks"], "id"))
 
 
-@query("publish_generation", """SELECT id, status, n AS indexed_chunks FROM (VALUES (1, 'active'), (2, 'active')) t(id, status),
+@query("publish_generation", """SELECT id, status, n AS indexed_chunks FROM (VALUES (1, 'retired'), (2, 'active')) t(id, status),
 (SELECT count(*) AS n FROM {chunks})""")
 def publish_generation(v):
     root = work_path(v.spark, "generations")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import gzip
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vocarium.functions import identity, text as tx
@@ -12,16 +15,29 @@ from vocarium.schemas import NORM_TRANSCRIPT, RAW_TRANSCRIPT
 _CORRUPT = "_corrupt_record"
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text of each file, null where it is damaged: a cut gzip stream, or bytes that are no text."""
+    for batch in batches:
+        texts: list[str | None] = []
+        for content, packed in zip(batch.column("content").to_pylist(), batch.column("packed").to_pylist()):
+            try:
+                texts.append((gzip.decompress(content) if packed else content).decode())
+            except (OSError, EOFError, zlib.error, UnicodeDecodeError):
+                texts.append(None)
+        yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(texts, pa.string())], names=["file_id", "value"])
+
+
 def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """One document per file; an unreadable one gives a row with ``corrupt`` set, not an error."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json(\.gz)?$", 1)
+    """One document per file; a damaged or empty one gives a row with ``corrupt`` set, not an error."""
+    name = F.element_at(F.split("path", "/"), -1)
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json*").text(folder))
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*").load(folder)
+        .select(F.regexp_extract(name, r"^(.*)\.json(\.gz)?$", 1).alias("file_id"), name.endswith(".gz").alias("packed"), "content"))
     document = F.from_json("value", f"{schema}, {_CORRUPT} STRING", {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
-    return files.select(name.alias("file_id"), document.alias("d")).select(
-        "file_id", "d.*", F.col(f"d.{_CORRUPT}").isNotNull().alias("corrupt")).drop(_CORRUPT)
+    whole = F.col("d").isNotNull() & F.col(f"d.{_CORRUPT}").isNull()
+    return files.mapInArrow(_unpacked, "file_id STRING, value STRING").select("file_id", document.alias("d")).select(
+        "file_id", "d.*", (~whole).alias("corrupt")).drop(_CORRUPT)
 
 
 def scan_raw(spark: SparkSession, folder: str) -> DataFrame:
