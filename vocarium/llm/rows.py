@@ -14,6 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that are Python objects at the same time.
 SLICE = 512
 
+#: What the tasks of one operator keep in a worker for its next task, by module.
+KEPT: dict[str, object] = {}
+
+
+def make_room(module: str) -> None:
+    """Let go of what other operators have kept in this worker."""
+    for other in [name for name in KEPT if name != module]:
+        del KEPT[other]
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -51,6 +60,7 @@ def map_rows(df: DataFrame, work: Callable[[Iterator[tuple]], Iterable[tuple]],
                     part = batch.slice(at, SLICE)
                     yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
+        make_room(work.__module__)
         held: list[tuple] = []
         for row in work(source()):
             held.append(row)

@@ -22,7 +22,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vocarium.llm.rows import map_rows, texts
+from vocarium.llm.rows import KEPT, map_rows, texts
 from vocarium.session import work_path
 
 # Fixed values of the zstandard seekable format.
@@ -35,8 +35,8 @@ CHECKSUM_FLAG = 0x80
 END_ID = 0
 #: Ids after which a file is closed; a single document is never cut.
 FILE_IDS = 2_000_000
-#: Distinct pieces a task remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers before it starts afresh.
+REMEMBERED = 700_000
 
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 _NAME = np.dtype([("doc_id", "<i8"), ("null", "u1")])
@@ -88,7 +88,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.remembered = remembered
+        self.path, self.remembered = path, remembered
         self.line = self._ids("\n")
         self.forget()
 
@@ -139,14 +139,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder: the tokenizer is loaded once, pieces are remembered for one task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder; tasks that follow each other in a worker share what it remembers."""
+    known = KEPT.get(__name__)
+    if not isinstance(known, Encoder) or known.path != path:
+        known = KEPT[__name__] = Encoder(path)
+    return known
 
 
 # --- file format --------------------------------------------------------------------------------
@@ -267,7 +265,6 @@ def _encoded(rows: Iterator[tuple], tokenizer: str, end_id: int, level: int) ->
             yield from flush()
             keys, held, size = [], [], 0
     yield from flush()
-    encoder(tokenizer).forget()
 
 
 def _files(docs_path: str, spark) -> DataFrame:

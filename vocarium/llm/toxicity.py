@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vocarium.llm.rows import map_rows, plain, utf8
+from vocarium.llm.rows import make_room, map_rows, plain, utf8
 from vocarium.session import written
 
 #: Labelled rows of each label in the sample, by the least hash of their id.
@@ -262,6 +262,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def work(batches):
+        make_room(__name__)
         weights = model.value
         get = weights.get
         for batch in batches:
