@@ -141,8 +141,7 @@ def test_knn_in_query_blocks_equals_one_block(spark, views, monkeypatch):
     whole = sorted(rows(vectors.knn_search(open_queries(views), bare_points(views), 5, 64), "query_id", "chunk_id", "rank"))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
     monkeypatch.setattr(vectors, "VECTOR_BLOCK", 33)
-    monkeypatch.setattr(vectors, "PRESCAN_ABOVE", 0)
-    monkeypatch.setattr(vectors, "PRESCAN_BYTES", 20_000)
+    monkeypatch.setattr(vectors, "PRESCAN", 0.5)
     split = sorted(rows(vectors.knn_search(open_queries(views), bare_points(views), 5, 64), "query_id", "chunk_id", "rank"))
     assert split == whole and len(whole) == 200
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import text as tx
 from vocarium.operators.filters import passes
-from vocarium.operators.ranking import top_k_spread
+from vocarium.operators.ranking import global_position, top_k_spread
 
 K1, B = 1.2, 0.75
 
@@ -23,14 +23,14 @@ QUERY_BATCH = 20_000
 
 
 def query_batches(queries: DataFrame, size: int = QUERY_BATCH) -> Iterator[DataFrame]:
-    """Split a query set into parts small enough to broadcast."""
-    parts = -(-queries.count() // size)
-    if parts <= 1:
+    """Split a query set into parts of at most ``size`` rows, small enough to broadcast."""
+    total = queries.count()
+    if total <= size:
         yield queries
         return
-    slot = F.pmod(F.xxhash64("query_id"), F.lit(2 * parts))  # twice the parts leaves room for uneven hashing
-    for part in range(2 * parts):
-        yield queries.filter(slot == part)
+    numbered = global_position(queries, ["query_id"], "_number")
+    for first in range(0, total, size):
+        yield numbered.filter(F.col("_number").between(first, first + size - 1)).drop("_number")
 
 
 def lexical_index(points: DataFrame) -> DataFrame:

@@ -105,7 +105,8 @@ def stage_outcome(results: DataFrame, tasks: DataFrame) -> DataFrame:
     """Next stage and status of every task that reported an outcome.
 
     Too little space puts the task back while transcriptions are open and skips it otherwise;
-    a failed run goes through the retry rules.
+    a failed run goes through the retry rules. An outcome that the stage has no rule for keeps the
+    stage and has no next status, so that it can be found.
     """
     spark = tasks.sparkSession
     table = spark.createDataFrame(TRANSITIONS, "outcome STRING, from_stage STRING, to_stage STRING, next STRING")
@@ -115,7 +116,7 @@ def stage_outcome(results: DataFrame, tasks: DataFrame) -> DataFrame:
     known = tasks.join(results, "id").withColumn("outcome", outcome)
     fits = (known["outcome"] == table["outcome"]) & (
         table["from_stage"].isNull() | (known["task_type"] == table["from_stage"]))
-    joined = known.join(F.broadcast(table), fits).drop(table["outcome"])  # ten fixed rows
+    joined = known.join(F.broadcast(table), fits, "left").drop(table["outcome"])  # ten fixed rows
     plan = identity.retry_plan(F.col("retries"), F.col("max_retries"), F.col("message"))
     failed = F.col("next") == "failed_run"
     return joined.withColumn("plan", plan).select(

@@ -20,13 +20,13 @@ from vocarium.functions.identity import squared_norm
 from vocarium.operators.filters import passes
 from vocarium.operators.lexical import bind, query_batches
 from vocarium.operators.ranking import top_k, top_k_spread
-from vocarium.session import estimated_bytes, materialise
+from vocarium.session import materialise
 
 #: Query vectors held by a task, and vectors multiplied at once.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 
-#: Vector tables above this size are scanned for a lower bound first, on a sample of this size.
-PRESCAN_ABOVE, PRESCAN_BYTES = 64 << 30, 2 << 30
+#: Share of the vectors that is scanned first, for a lower bound of every query's scores.
+PRESCAN = 1 / 64
 
 _HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
 _FILTERS = ("q_short", "q_4k", "date_lo", "date_hi", "v_id")
@@ -151,9 +151,7 @@ def _scan_all(queries: DataFrame, points: DataFrame, k: int, dimension: int, sco
     parts = None
     for batch in query_batches(usable_vectors(queries, dimension), QUERY_BLOCK):
         block = _query_block(batch)
-        size = estimated_bytes(vectors)
-        if size > PRESCAN_ABOVE:
-            block = block._replace(floor=_floors(block, vectors.sample(PRESCAN_BYTES / size, seed=1), k, scorer))
+        block = block._replace(floor=_floors(block, vectors.sample(PRESCAN, seed=1), k, scorer))
         best = top_k_spread(vectors.mapInArrow(_scan(block, k, scorer), _HITS), ["query_id"], order, k)
         parts = best if parts is None else parts.unionByName(best)
     return parts

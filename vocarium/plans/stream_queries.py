@@ -10,6 +10,15 @@ from vocarium.session import work_path
 from vocarium.streaming import feeds
 
 
+#: How long after the newest event a repeat may come; the event table covers thirty days.
+KEPT_FOR = "40 days"
+
+
+def fresh(v):
+    """A folder for a stream that reads everything once; one that is to go on keeps its folder."""
+    return work_path(v.spark, "stream")
+
+
 def events(v):
     """The event table as a stream; its times carry no zone and get UTC."""
     stream = v.spark.readStream.schema(v["events"].schema).option("pathGlobFilter", "events.parquet").parquet(v.folder)
@@ -32,13 +41,13 @@ FROM {outbox} GROUP BY chunk_id"""
 
 @query("stream_outbox_apply", "SELECT chunk_id, version FROM {outbox_last} WHERE event_type = 'upsert'")
 def stream_outbox_apply(v):
-    return feeds.live_chunks(feeds.apply_outbox_stream(outbox(v)))
+    return feeds.live_chunks(feeds.apply_outbox_stream(outbox(v), fresh(v), KEPT_FOR))
 
 
 @query("stream_deletes_after_upserts", """
 SELECT chunk_id, event_type, event_type = 'delete' AS after FROM {outbox_last}""")
 def stream_deletes_after_upserts(v):
-    return feeds.deletes_after_upserts(outbox(v)).select("chunk_id", "event_type", (F.col("step") % 2 == 1).alias("after"))
+    return feeds.deletes_after_upserts(outbox(v), fresh(v), KEPT_FOR).select("chunk_id", "event_type", (F.col("step") % 2 == 1).alias("after"))
 
 
 @query("stream_task_state", """
@@ -47,7 +56,7 @@ FROM (SELECT e.user_id, count(*) FILTER (WHERE e.event_type = 'error' AND e.ts >
       FROM {events} e LEFT JOIN (SELECT user_id, max(ts) AS last FROM {events} WHERE event_type <> 'error' GROUP BY 1) s USING (user_id)
       GROUP BY e.user_id)""")
 def stream_task_state(v):
-    return feeds.task_states(events(v))
+    return feeds.task_states(events(v), fresh(v))
 
 
 @query("stream_history_topn", """
@@ -55,7 +64,7 @@ SELECT user_id, string_agg(query, ',' ORDER BY ts DESC, query) AS queries
 FROM (SELECT user_id, query, max(created_at) AS ts FROM {history_log} GROUP BY user_id, query
       QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(created_at) DESC, query) <= 20) GROUP BY user_id""")
 def stream_history_topn(v):
-    return feeds.history_newest(stream_of(v, "history_log")).select("user_id", F.array_join("queries", ",").alias("queries"))
+    return feeds.history_newest(stream_of(v, "history_log"), fresh(v)).select("user_id", F.array_join("queries", ",").alias("queries"))
 
 
 @query("stream_flag_lease", """
@@ -73,13 +82,13 @@ SELECT * FROM (
 def stream_flag_lease(v):
     requests = events(v).select((F.col("event_id") % 300).alias("chunk_id"),
                                 F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), "event_id", "ts")
-    return feeds.flag_leases(requests)
+    return feeds.flag_leases(requests, fresh(v))
 
 
 @query("stream_queue_depth", """
 SELECT epoch_ms(date_trunc('day', created_at)::TIMESTAMP) // 1000 AS day, status, task_type, count(*) AS n FROM {tasks} GROUP BY 1, 2, 3""")
 def stream_queue_depth(v):
-    return feeds.queue_depth(stream_of(v, "tasks"))
+    return feeds.queue_depth(stream_of(v, "tasks"), fresh(v))
 
 
 @query("stream_sliding_failures", """
@@ -87,7 +96,7 @@ SELECT m - k * 60 AS minute, count(*) AS failures, sum(CASE WHEN regexp_matches(
 FROM (SELECT epoch_ms(date_trunc('minute', created_at)::TIMESTAMP) // 1000 AS m, error_message FROM {tasks} WHERE status = 'failed'), range(0, 10) t(k)
 GROUP BY 1""")
 def stream_sliding_failures(v):
-    return feeds.sliding_failures(stream_of(v, "tasks"))
+    return feeds.sliding_failures(stream_of(v, "tasks"), fresh(v))
 
 
 @query("stream_pause_sessions", """
@@ -97,21 +106,21 @@ FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 GROUP BY user_id, no
 HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {events})""")
 def stream_pause_sessions(v):
-    return feeds.pause_sessions(events(v))
+    return feeds.pause_sessions(events(v), fresh(v))
 
 
 @query("stream_late_events", """
 SELECT epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) // 1000 AS start, count(*) AS n FROM {events}
 WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1""")
 def stream_late_events(v):
-    # The newer half arrives first, in two files; by the time the older half comes its windows
-    # have passed. Lateness is judged by the watermark of the batch before.
-    folder = work_path(v.spark, "arrivals")
-    timed = v["events"].select(F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    for arrival in ("ts >= '2024-01-16' AND event_id % 2 = 0", "ts >= '2024-01-16' AND event_id % 2 = 1", "ts < '2024-01-16'"):
-        timed.filter(arrival).coalesce(1).write.mode("append").parquet(folder)
-    arriving = v.spark.readStream.schema(timed.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    return feeds.windows_without_late(arriving)
+    # The newer half arrives first; by the time the older half comes its windows have passed. The
+    # stream is started anew for every arrival and goes on from its folder.
+    arrivals, folder = work_path(v.spark, "arrivals"), fresh(v)
+    timed = v["events"].select(F.col("ts").cast("timestamp").alias("ts"))
+    for arrival in ("ts >= '2024-01-16'", "ts < '2024-01-16'"):
+        timed.filter(arrival).write.mode("append").parquet(arrivals)
+        counts = feeds.windows_without_late(v.spark.readStream.schema(timed.schema).parquet(arrivals), folder)
+    return counts
 
 
 @query("stream_ingest_dedupe", """
@@ -121,10 +130,10 @@ LEFT JOIN {videos} v ON v.source_file_id = f.file_id""")
 def stream_ingest_dedupe(v):
     files = events(v).select(F.concat(F.lit("src"), (F.col("event_id") % 20).cast("string"), F.lit("-"),
                                       ((F.col("event_id") * 11) % 1000).cast("string")).alias("file_id"), "ts")
-    return feeds.ingest_decisions(files, v["videos"])
+    return feeds.ingest_decisions(files, v["videos"], fresh(v), KEPT_FOR)
 
 
 @query("stream_title_enrich", """
 SELECT t.id, t.task_type, v.title FROM {tasks} t LEFT JOIN {videos} v ON v.id = t.video_id WHERE t.status = 'running'""")
 def stream_title_enrich(v):
-    return feeds.running_with_titles(stream_of(v, "tasks"), v["videos"])
+    return feeds.running_with_titles(stream_of(v, "tasks"), v["videos"], fresh(v))
