@@ -52,15 +52,15 @@ def candidates(routed: DataFrame, index: DataFrame, dimension: int, limit: int,
 def hydrate(hits: DataFrame, index: DataFrame, videos: DataFrame, flags: DataFrame) -> DataFrame:
     """Payload, current video metadata and flag of every hit.
 
-    Hits number at most a few hundred per query of a bounded batch, so they travel to the
-    index and not the index to them.
+    A caller whose hits are bounded hints at their broadcast, so that they travel to the index and
+    not the index to them.
     """
     payload = index.select("chunk_id", "video_id", "chunk_index", "start_sec", "end_sec", "text", "title",
                            "source_file_id", "source_url", "recorded_date", "is_short", "is_4k")
     meta = videos.select(F.col("id").alias("video_id"), F.col("title").alias("video_title"),
                          F.col("source_file_id").alias("video_file_id"))
     flagged = flags.select("chunk_id").distinct().withColumn("flagged", F.lit(True))
-    joined = payload.join(F.broadcast(hits), "chunk_id").join(meta, "video_id", "left").join(
+    joined = payload.join(hits, "chunk_id").join(meta, "video_id", "left").join(
         flagged, "chunk_id", "left").withColumn("is_flagged", F.col("flagged").isNotNull()).drop("flagged")
     return point_ops.result_projection(joined)
 
@@ -103,7 +103,9 @@ def hybrid_search(queries: DataFrame, points: DataFrame, videos: DataFrame, flag
     parts = None
     # Every branch reads the parsed queries, so they are parsed once.
     for batch in lexical.query_batches(written(route(queries), "queries"), vectors.QUERY_BLOCK):
-        hits = hydrate(candidates(batch, index, dimension, limit, match), index, videos, flags)
+        # At most a few hundred hits for each query of a bounded batch.
+        found = F.broadcast(candidates(batch, index, dimension, limit, match))
+        hits = hydrate(found, index, videos, flags)
         shown = present(hits, batch, limit)
         parts = shown if parts is None else parts.unionByName(shown)
     return parts

@@ -176,14 +176,19 @@ def knn_search(queries: DataFrame, points: DataFrame, k: int, dimension: int) ->
 
 def knn_sign_bits(queries: DataFrame, points: DataFrame, k: int, dimension: int, oversample: int = 10) -> DataFrame:
     """Approximate neighbours: best one-bit codes, then exact scores for ``oversample * k`` of them."""
-    coarse = _scan_all(queries, points, oversample * k, dimension, sign_scores).select("query_id", "chunk_id")
-    return _rerank(coarse, queries, points, k)
+    parts = None
+    for batch in query_batches(usable_vectors(queries, dimension), QUERY_BLOCK):
+        coarse = _scan_all(batch, points, oversample * k, dimension, sign_scores).select("query_id", "chunk_id")
+        best = _rerank(coarse, batch, points, k)
+        parts = best if parts is None else parts.unionByName(best)
+    return parts
 
 
 def _rerank(candidates: DataFrame, queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    # Candidates are bounded by queries times oversample; the vectors stay where they are.
-    sided = candidates.join(queries.select("query_id", F.col("embedding").alias("q_embedding")), "query_id")
-    scored = points.select("chunk_id", "embedding").join(F.broadcast(sided), "chunk_id").select(
+    # A block's candidates are pairs of ids, bounded by queries times oversample; the vectors stay where they are.
+    asked = queries.select("query_id", F.col("embedding").alias("q_embedding"))
+    near = points.select("chunk_id", "embedding").join(F.broadcast(candidates), "chunk_id")
+    scored = near.join(F.broadcast(asked), "query_id").select(
         "query_id", "chunk_id", cosine(F.col("q_embedding"), F.col("embedding")).alias("score"))
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 

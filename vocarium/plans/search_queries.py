@@ -453,7 +453,7 @@ SELECT query_id, chunk_id FROM {{quote_hits}}""")
 def quote_match(v):
     asked = v["routed"].filter("branch = 'quote'")
     hits = lexical.quote_search(asked, v["index"], 60).select("query_id", "chunk_id")
-    text = v["index"].select("chunk_id", "text").join(F.broadcast(hits), "chunk_id")
+    text = v["index"].select("chunk_id", "text").join(hits, "chunk_id")
     checked = text.join(asked.select("query_id", "clean"), "query_id")
     return checked.filter(lexical.quote_match(F.col("text"), tx.tokens(F.col("clean")))).select("query_id", "chunk_id")
 

@@ -324,13 +324,18 @@ def _quoted(v):
     """Hits of the quote queries with their text."""
     asked = v["routed"].filter("branch = 'quote'")
     hits = lexical.quote_search(asked, v["index"], 60).select("query_id", "chunk_id")
-    return v["index"].select("chunk_id", "text").join(F.broadcast(hits), "chunk_id").join(
+    return v["index"].select("chunk_id", "text").join(hits, "chunk_id").join(
         asked.select("query_id", "clean"), "query_id")
 
 
-@query("quote_highlight")
+@query("quote_highlight", f"""
+SELECT h.query_id, h.chunk_id, p.text AS unmarked, TRUE AS whole_quotes FROM {{quote_hits}} h JOIN {{points}} p USING (chunk_id)""")
 def quote_highlight(v):
-    return _quoted(v).select("query_id", "chunk_id", highlight.quote_highlight("text", "clean").alias("marked"))
+    # Without its marks the marked text must be the text again; every quote in it has all its words marked.
+    marked = _quoted(v).withColumn("marked", highlight.quote_highlight("text", "clean"))
+    marks = F.regexp_count("marked", F.lit("<mark>"))
+    return marked.select("query_id", "chunk_id", F.replace(F.replace("marked", F.lit("<mark>"), F.lit("")), F.lit("</mark>"), F.lit("")).alias("unmarked"),
+                         ((marks > 0) & (marks % F.size(tx.tokens(F.col("clean"))) == 0)).alias("whole_quotes"))
 
 
 @query("best_match_span")
@@ -355,7 +360,7 @@ JOIN (SELECT query_id, list_concat(ws, list_transform(ws, lambda w: {root_sql('w
 def word_highlight(v):
     asked = v["routed"].filter("branch = 'ranked' AND mode IN ('lexical', 'hybrid') AND clean <> ''")
     hits = lexical.bm25_search(asked, v["index"], 100).select("query_id", "chunk_id")
-    texts = v["index"].select("chunk_id", "text").join(F.broadcast(hits), "chunk_id").join(
+    texts = v["index"].select("chunk_id", "text").join(hits, "chunk_id").join(
         asked.select("query_id", "clean"), "query_id")
     marked = texts.withColumn("marked", highlight.word_highlight(F.col("text"), F.col("clean")))
     # Without its marks the marked text must be the text again.
