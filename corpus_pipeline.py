@@ -15,8 +15,9 @@ from vocarium.llm.queries import TOKENIZER
 from vocarium.llm.rows import table
 from vocarium.session import written
 
-#: Near-duplicate documents share their five-word shingles; see ``simhash`` for the link.
+#: Near-duplicate documents share this much of their five-word shingles; see ``simhash.alike``.
 SHINGLE = 5
+SIMILARITY = 0.8
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.keep_one(docs, SHINGLE)
+    return simhash.keep_one(docs, SHINGLE, similarity=SIMILARITY)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,6 +111,28 @@ def test_odd_duplicates(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_kept_documents_are_not_alike(spark):
+    """Brute force over five-word shingle sets of the pages of a book and edited copies of them."""
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(500)]
+    texts = [" ".join(draw.choices(words, k=draw.randint(3, 150))) for _ in range(60)]
+    for text in texts[:40]:
+        for _ in range(draw.randint(1, 12)):
+            copy = text.split()
+            for _ in range(draw.randint(0, 4)):
+                copy[draw.randrange(len(copy))] = "new"
+            texts.append(" ".join(copy))
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    far = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            far += (plain_fingerprint(texts[a], 5) ^ plain_fingerprint(texts[b], 5)).bit_count() > 3
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    kept = simhash.keep_one(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), 5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and far > 50
+
+
 # --- decontamination ---
 
 

@@ -30,6 +30,9 @@ SHINGLE = 3
 RADIUS = 3
 SEED = 42
 BITS = 64
+#: Bands of minima and minima in each: sets of Jaccard similarity 0.8 share none with probability 3e-6.
+MIN_BANDS = 24
+MIN_ROWS = 4
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -259,14 +262,113 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return grouped(docs, shingle, radius).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes in ascending order."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
+_MASKS, _FACTORS = _DRAWN[0][:, None], _DRAWN[1][:, None] | np.uint64(1)
+
+
+def min_bands(found: np.ndarray) -> list[int]:
+    """A signed shard key for each band of ``MIN_ROWS`` minima of the set under fixed reorderings."""
+    least = np.full(len(_MASKS), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(found), 1 << 12):
+        mixed = (found[None, at:at + (1 << 12)] ^ _MASKS) * _FACTORS
+        mixed ^= mixed >> np.uint64(32)
+        np.minimum(least, (mixed * _FACTORS).min(axis=1), out=least)
+    rows = least.reshape(MIN_BANDS, MIN_ROWS)
+    return [signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
+
+
+def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS) -> DataFrame:
+    """``(doc_id, row_hash, root)`` for every row: components over pairs of at least this Jaccard similarity.
+
+    Candidates are the links of the fingerprints, and pairs that share a band of minima, since at
+    similarity 0.8 fingerprints differ in about 10 bits, where no band of them is whole any more. Each
+    candidate is confirmed on the two whole shingle sets. A band's members meet a sample of themselves,
+    which grows from round to round until all pairs have met or all members are in one component.
+    """
+    def mark(rows: Iterator[tuple]) -> Iterable[tuple]:
+        for key, row, text in rows:
+            hashes = shingle_hashes(text, shingle)
+            found = np.unique(hashes)
+            node = signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            yield key, row, signed(majority(hashes)), node, len(found), min_bands(found) if len(found) else [], found.tobytes()
+
+    marked = written(map_rows(
+        docs.select(F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text")), mark,
+        "doc_id long, row_hash long, fp long, node long, size long, bands array<long>, hashes binary", rows=256), "shingle_sets")
+    nodes = written(marked.groupBy("node").agg(
+        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands")), "distinct_sets")
+    # One set of each fingerprint stands for it in the fingerprints' links; the bands hold all sets.
+    of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    near = links(of_print, radius)
+    ends = lambda name: of_print.select(F.col("fp").alias(name), F.col("node").alias(f"{name}_node"))
+    candidates = near.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+    members = nodes.select("node", "size", F.explode("bands").alias("shard"))
+    crowded = members.groupBy("shard").agg(F.count("node").alias("many")).filter("many > 1")
+    members = written(members.join(crowded, "shard"), "band_members")
+    edges = written(confirmed(candidates, marked, similarity), "alike")
+    roots = components(edges)
+    met = 8
+    while True:
+        rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = written(rooted.join(
+            rooted.groupBy("shard").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("shard"),
+            "shard"), "band_members")
+        # The sample of a round holds those of the rounds before; with ``many`` members it is all of them.
+        place = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 20)) / float(1 << 20)
+        asked = rooted.filter(place * F.col("many") < met).select(
+            "shard", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
+        sizes = F.least("size", "a_size") >= F.lit(similarity) * F.greatest("size", "a_size") - 1e-6
+        pairs = rooted.join(asked, "shard").filter((F.col("root") != F.col("a_root")) & sizes).select(
+            F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        edges = written(edges.union(confirmed(pairs, marked, similarity)), "alike")
+        roots = components(edges)
+        most = rooted.agg(F.max("many")).first()[0] or 0
+        if most <= met:
+            break
+        members, met = rooted.filter(F.col("many") > met).drop("root"), met * 8
+    return marked.select("doc_id", "row_hash", "node").join(roots, "node", "left").select(
+        "doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose whole shingle sets have at least this Jaccard similarity."""
+    pairs = written(pairs.filter("a <> b").distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = written(marked.select("node", "hashes").join(asked, "node", "left_semi").dropDuplicates(["node"]), "asked_sets")
+    both = (
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_set")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_set")), "b").select("a", "b", "a_set", "b_set"))
+
+    def check(rows: Iterator[tuple]) -> Iterable[tuple]:
+        for a, b, first, second in rows:
+            if jaccard(np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)) >= similarity - 1e-12:
+                yield a, b
+
+    return map_rows(both, check, "a long, b long")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that with the smallest ``doc_id``.
 
-    Among rows with this id in one component the least ``row_hash`` decides; of rows equal in all
-    columns one is kept. Rows without an id come last.
+    Components are those of the fingerprints' links, or with ``similarity`` those of ``alike``. Among
+    rows with this id in one component the least ``row_hash`` decides; of rows equal in all columns
+    one is kept. Rows without an id come last.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_hash")).alias("first")
-    heads = grouped(docs, shingle, radius).groupBy("root").agg(first).select(
+    found = grouped(docs, shingle, radius) if similarity is None else alike(docs, shingle, similarity, radius)
+    heads = found.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("_id"), F.col("first.row_hash").alias("_row"))
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")) & (row_hash(docs) == F.col("_row"))
     return docs.join(heads.distinct(), same, "left_semi").dropDuplicates()
