@@ -294,3 +294,13 @@ def test_mixed_rows_are_copies(documents):
     mixed = mixing.mix(documents)
     rows = Counter(r["doc_id"] for r in mixing.repeated(documents, mixed).select("doc_id").collect())
     assert rows == Counter({r["doc_id"]: r["copies"] for r in mixed.filter(F.col("copies") > 0).collect()})
+
+
+def test_rows_with_one_id_are_mixed_apart(spark):
+    rows = [(7, f"one two three {i}", "a") for i in range(6)] + [(None, f"four five {i}", "b") for i in range(5)] + [(None, "six seven", "b")] * 3
+    df = frame(spark, rows + [(i, "eight nine ten", "c") for i in range(20, 30)])
+    got = Counter((r["doc_id"], r["text"], r["source"]) for r in corpus_pipeline.mixed(spark, df, FOLDER).collect())
+    given = Counter(rows)
+    want = sum(r["copies"] for r in mixing.mix(df).collect())
+    assert sum(got.values()) == want and all(n <= 2 * given.get(k, 1) for k, n in got.items()) and set(got) <= set(map(tuple, df.select("doc_id", "text", "source").collect()))
+    assert {k[0] for k in got} >= {7, None}

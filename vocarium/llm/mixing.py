@@ -94,9 +94,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     taken of it. Null sources are one source. Rows with equal ids share a random number and rank by
     size; equal rows stand for each other. An empty table gives no rows; other columns are ignored.
     """
+    return _mixed(docs, weights, share, most_copies, seed)
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+           most_copies: float = MOST_COPIES, seed: int = SEED, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``mix`` with the columns ``carried`` of ``docs`` behind its own."""
     sized = written(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                    F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "sizes")
+                    F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carried), "sizes")
     targets = written(source_targets(sized, weights, share, most_copies), "mix")
     classes = (
         _same_source(sized.filter("size > 0").groupBy("source", size_class(F.col("size")).alias("class"))
@@ -113,13 +119,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     ratio = u * (1 - F.col("chance")) / ((1 - u) * F.col("chance"))
     ranked = _same_class(sized.withColumn("class", size_class(F.col("size"))), plan.drop("words", "target"), "left", SALTS)
     ranked = written(
-        ranked.select("doc_id", "source", "size", F.coalesce("certain", F.lit(0)).alias("certain"),
+        ranked.select("doc_id", "source", "size", *carried, F.coalesce("certain", F.lit(0)).alias("certain"),
                       F.when((F.col("chance") > 0) & (F.col("size") > 0), ratio / (1 + ratio)).alias("rank")), "ranked")
     chosen = _chosen(ranked, left)
     out = _same_source(chosen, targets, salts=SALTS)
     copies = F.col("certain") + F.col("picked")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"),
-                      copies.cast("bigint").alias("copies"))
+                      copies.cast("bigint").alias("copies"), *carried)
 
 
 def _same_source(df: DataFrame, other: DataFrame, how: str = "inner", salts: int = 1) -> DataFrame:
@@ -173,14 +179,32 @@ def _chosen(ranked: DataFrame, left: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edges = placed.filter("_state = 0").withColumn("_sum", F.sum("size").over(order))
     near = F.col("_sum") - F.col("size") / 2.0 <= F.col("left")
-    columns = ["doc_id", "source", "size", "certain"]
+    columns = [name for name in placed.columns if name not in ("rank", "_outer", "_inner", "left", "_state")]
     return (
         placed.filter("_state <> 0").select(*columns, (F.col("_state") < 0).cast("int").alias("picked"))
         .union(edges.select(*columns, near.cast("int").alias("picked"))))
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` as often as their own row of the mix takes them, with the columns of ``docs``.
+
+    Every row has a number, written with the row, by which it meets its copies; ids may repeat or be
+    null.
+    """
+    at = len(docs.columns)
+    numbered = written(docs.toDF(*[f"c{i}" for i in range(at)]).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    place = {name.lower(): i for i, name in reversed(list(enumerate(docs.columns)))}
+    named = numbered.select(*[F.col(f"c{place[n]}").alias(n) for n in ("doc_id", "text", "source")], "_row")
+    taken = _mixed(named, carried=("_row",)).filter("copies > 0").select("_row", F.col("copies").alias("_copies"))
+    rows = numbered.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return rows.select(*[f"c{i}" for i in range(at)]).toDF(*docs.columns)
+
+
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Rows of ``docs`` as often as ``mixed(doc_id, copies)`` takes them, with the columns of ``docs``."""
+    """Rows of ``docs`` as often as ``mixed(doc_id, copies)`` takes them, with the columns of ``docs``.
+
+    Ids must be distinct; ``mixture`` takes any.
+    """
     taken = mixed.filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
     joined = docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")))
     return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
