@@ -185,6 +185,19 @@ def test_main_text_of_odd_pages(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_keep_its_text(spark):
+    page = "<body><div>Menu of the whole site</div><div>{} of the long article about trees</div><ul><li>{} point of it</ul><div>Seen {} times</div>"
+    page = page.replace(" trees", ", trees" * 60)
+    pages = [(i, f"https://a.org/t/1?page={i}", page.format("Text", "First", i)) for i in range(12)]
+    pages += [(20, "https://a.org/print/1", page.format("Text", "First", "no")), (30, "https://a.org/t/2", page.format("Words", "Last", "7")),
+              (40, "https://b.org/x", page.format("Only", "One", "3")), (41, "https://b.org/y", page.format("Only", "One", "3"))]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    both = ["Text of the long article about" + ", trees" * 60, "First point of it"]
+    assert all([line for line in got[i] if "Seen" not in line] == both and "Menu" not in got[i] for i in (*range(12), 20))
+    assert got[30][:2] == ["Words of the long article about" + ", trees" * 60, "Last point of it"]
+    assert len(got[40]) == len(got[41]) == 4
+
+
 def test_alignment_is_longest():
     draw = random.Random(0)
     for _ in range(300):
