@@ -239,6 +239,21 @@ def test_licence_scan(spark, none):
     assert licences.scan(none).count() == 0
 
 
+def test_wrapped_notices(spark):
+    notices = {
+        "mit": "MIT License\n\nCopyright (c) 2020 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+               "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including "
+               "without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+        "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following "
+               "conditions\n * are met:\n *\n * 1. Redistributions of source code must retain the above notice",
+        "gpl": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as "
+               "published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."}
+    docs = spark.createDataFrame([(i, text) for i, text in enumerate(notices.values())] + [(8, "Released under the MIT License.\n" * 3)], "doc_id long, text string")
+    more = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.col("doc_id") + 100, "text")
+    found = [(r["doc_id"], r["paragraph"], r["family"]) for r in licences.scan(docs.union(more)).filter("doc_id < 100").collect()]
+    assert sorted(found) == [(0, 4, "mit"), (1, 0, "bsd"), (2, 0, "gpl"), (8, 0, "mit"), (8, 1, "mit"), (8, 2, "mit")]
+
+
 # --- language model ---
 
 
