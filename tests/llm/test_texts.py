@@ -198,6 +198,17 @@ def test_copies_of_a_page_keep_its_text(spark):
     assert len(got[40]) == len(got[41]) == 4
 
 
+def test_cue_words_alone_drop_no_article():
+    def lines(page):
+        return {line: verdict for line, verdict in html_text.lines_of(page)}
+
+    text = "<h2 id='related-work'>Related work</h2><section id='search-algorithms'><p>Trees are searched</p></section><p class='teaser'>In short</p>"
+    for page in (f"<body class='has-sidebar'><article class='post comments-open'>{text}</article>", f"<main id='search'>{text}</main>"):
+        assert lines(page) == {"Related work": html_text.KEPT, "Trees are searched": html_text.OPEN, "In short": html_text.OPEN}
+    assert lines("<article><div class='ad'>Buy</div><p>Text</p><div class='box comments'><p>Me too</p></div></article>") == {
+        "Buy": html_text.DROPPED, "Text": html_text.KEPT, "Me too": html_text.DROPPED}
+
+
 def test_alignment_is_longest():
     draw = random.Random(0)
     for _ in range(300):
