@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vocarium.llm import chat, decontamination, html_text, language_model, licences, mixing, rules, simhash, token_files, toxicity
+from vocarium.llm import (centroids, chat, decontamination, html_text, language_model, licences, mixing, rules, simhash, token_alignment, token_files, toxicity,
+                          url_rules)
 from vocarium.llm.rows import table
 from vocarium.session import written
 
 #: Tokenizer file of the contract; a parameter of the operator.
 TOKENIZER = "byte_bpe_50k.json"
 
+#: The other tokenizer of the alignment.
+PIECES = "piece_bpe_32k.model"
+
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -59,7 +63,20 @@ def op10_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
                        rules.failed(rules.mask_of(rules.POLICIES[1])).alias("base_failed"), "kept", "fail_bits")
 
 
+def op11_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = url_rules.judge(table(spark, folder, "pages"), url_rules.SITES + url_rules.WORDS)
+    return found.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("name")).alias("rule"), "verdict")
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.alignment(table(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.described(*centroids.cluster(table(spark, folder, "embeddings")))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_transcripts, op3_token_files, op4_toxicity, op5_main_text, op6_mix_sources, op7_licence_scan,
-                                  op8_language_model, op9_simhash_groups, op10_rule_ledger)}
+                                  op8_language_model, op9_simhash_groups, op10_rule_ledger, op11_url_rules, op12_token_alignment, op13_centroids)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_url_rules": url_rules.oracle(url_rules.SITES + url_rules.WORDS), "op13_centroids": centroids.oracle()}
