@@ -175,7 +175,7 @@ def test_alignment_in_many_blocks(monkeypatch):
     assert [g for p in parts for g in p.groups.to_pylist()] == whole.groups.to_pylist()
     assert np.concatenate([p.pair for p in parts]).tolist() == whole.pair.tolist()
     assert np.concatenate([p.links for p in parts]).tolist() == whole.links.tolist()
-    monkeypatch.setattr(ta, "REMEMBERED", 5)
+    monkeypatch.setattr(ta, "UNITS", 5)
     assert ta._Part(batch.column(1), ta.Pair(A, B)).groups.to_pylist() == whole.groups.to_pylist()
     uncut = ta.Pair(A, B)
     uncut.cuts = False

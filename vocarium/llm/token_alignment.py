@@ -16,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +29,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vocarium.llm.rows import KEPT, make_room, plain
 from vocarium.session import written
 
-#: Bytes of text whose id pairs are sent together; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text that are cut and tokenised together, and whose id pairs are sent together; a longer document is alone.
+BLOCK_BYTES = 8 << 20
 
-#: Bytes of text that are tokens at the same time.
-SLICE_BYTES = 2 << 20
-
-#: Units whose tokens a worker remembers.
-REMEMBERED = 150_000
+#: Units that the tokenizers read as one text.
+UNITS = 1 << 14
 
 #: Id pairs in one row of a block.
 PAIRS = 4096
@@ -46,8 +43,16 @@ SHIFT = 24
 
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
-#: tokens, tokens, groups and links of a unit, its groups as text, its id pairs and the links of each.
-Unit = tuple[int, int, int, int, bytes, bytes, bytes]
+
+class Units(NamedTuple):
+    """What the tokens of some units come to: numbers by unit, groups as text, and distinct id pairs by unit."""
+
+    ok: np.ndarray
+    numbers: list[np.ndarray]  # tokens of A, tokens of B, groups, links
+    groups: pa.Array
+    size: np.ndarray  # id pairs of each unit
+    pairs: np.ndarray
+    links: np.ndarray
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -58,7 +63,7 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers in one worker, and the units they have cut."""
+    """Both tokenizers in one worker."""
 
     def __init__(self, tokenizer: str, model: str):
         import sentencepiece
@@ -68,53 +73,121 @@ class Pair:
         self.a = Tokenizer.from_file(tokenizer)
         self.a.encode_special_tokens = True
         alphabet = byte_alphabet()
-        self.bytes_a = {i: bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
-                        for entry, i in self.a.get_vocab(with_added_tokens=True).items()}
+        entries = {i: bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
+                   for entry, i in self.a.get_vocab(with_added_tokens=True).items()}
+        self.bytes_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
         self.b = sentencepiece.SentencePieceProcessor(model_file=model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.is_byte = [bool(_BYTE.fullmatch(p)) for p in pieces]
+        self.is_byte = np.array([bool(_BYTE.fullmatch(p)) for p in pieces])
+        self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        self.digits = pa.array([str(i).encode() for i in range(max(len(self.bytes_a), len(self.bytes_b)))], pa.large_binary())
         self.cuts = _cuts_before_spaces(tokenizer) and not any(re.search("[^▁]▁", p) for p in pieces)
-        self.known: dict[str, Unit | None] = {}
-
-    def units(self, texts: list[str]) -> list[Unit | None]:
-        """Entries of units given without their leading space; None where the tokens do not spell the unit."""
-        new = [t for t in texts if t not in self.known]
-        for at in range(0, len(new), 1024):
-            part = new[at:at + 1024]
-            encoded = self.a.encode_batch([f" {t}" for t in part], add_special_tokens=False)
-            spelled = self.b.encode(part, return_type="proto", num_threads=1)
-            for text, left, right in zip(part, encoded, spelled, strict=True):
-                self.known[text] = self._unit(f" {text}", left, right)
-        found = [self.known[t] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        return found
-
-    def _unit(self, text: str, left, right) -> Unit | None:
-        ids_a, ids_b = left.ids, []
-        ends_b, end = [], 1
-        for p in right.pieces:
-            # Bytes of one character share its span: all but the last end where it begins.
-            end = end + 1 if self.is_byte[p.id] else 1 + p.end
-            ids_b.append(p.id)
-            ends_b.append(end)
+
+    def units(self, words: list[str]) -> Units:
+        """Units given without their leading space, in their order.
+
+        Units are read many at a time as one text, which gives the tokens of each, since none reaches across a
+        cut. Those that end in white space or hold the sign that B writes for a space are read alone.
+        """
+        alone = np.fromiter((not self.cuts or not w or w[-1].isspace() or "▁" in w for w in words), bool, len(words))
+        joint = np.flatnonzero(~alone)
+        order = [joint[at:at + UNITS] for at in range(0, len(joint), UNITS)] + [np.array([i]) for i in np.flatnonzero(alone)]
+        parts = [part for chosen in order for part in self._read([words[i] for i in chosen.tolist()])]
+        if not parts:
+            return _units_of_nothing(0)
+        back = np.argsort(np.concatenate(order), kind="stable")
+        size = np.concatenate([p.size for p in parts])
+        begin = np.cumsum(size) - size
+        place = _ranges(begin[back], size[back])
+        return Units(np.concatenate([p.ok for p in parts])[back], [np.concatenate([p.numbers[i] for p in parts])[back] for i in range(4)],
+                     pa.concat_arrays([p.groups for p in parts]).take(pa.array(back)), size[back],
+                     np.concatenate([p.pairs for p in parts])[place], np.concatenate([p.links for p in parts])[place])
+
+    def _read(self, words: list[str]) -> list[Units]:
+        """Entries of units that are read as one text, in halves where their tokens do not spell it or reach across."""
+        text = " " + " ".join(words)
         raw = text.encode()
-        if (b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw
-                or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw):
+        units = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        found = self._ends(text, raw)
+        if found is not None:
+            ids_a, ends_a, ids_b, ends_b = found
+            cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+            if np.isin(units, cuts, assume_unique=True).all():
+                return [self._grouped(units, cuts, ids_a, ends_a, ids_b, ends_b)]
+        if len(words) == 1:
+            return [_units_of_nothing(1)]
+        half = len(words) // 2
+        return self._read(words[:half]) + self._read(words[half:])
+
+    def _ends(self, text: str, raw: bytes) -> tuple[np.ndarray, ...] | None:
+        """Ids and last bytes of the tokens of A and B, or None where they do not spell the text."""
+        left, right = self.a.encode(text, add_special_tokens=False), self.b.encode(text[1:], return_type="proto").pieces
+        ids_a, ids_b = np.array(left.ids, np.int64), np.fromiter((p.id for p in right), np.int64, len(right))
+        if (b"".join([self.bytes_a[i] for i in ids_a.tolist()]) != raw or b"".join([self.bytes_b[i] for i in ids_b.tolist()]) != raw):
             return None
-        return _entry(ids_a, self._ends_a(text, ids_a, left.offsets), ids_b, ends_b)
-
-    def _ends_a(self, text: str, ids: list[int], offsets: list[tuple[int, int]]) -> list[int]:
-        if text.isascii():
-            return [last for _, last in offsets]
-        at = [0, *np.cumsum([len(c.encode()) for c in text]).tolist()]
-        ends, end = [], 0
-        for k, (i, (_, last)) in enumerate(zip(ids, offsets, strict=True)):
-            inside = k + 1 < len(ids) and offsets[k + 1][0] < last  # the next token begins in this one's last character
-            end = end + len(self.bytes_a[i]) if inside else at[last]
-            ends.append(end)
-        return ends
+        spelled_a, spelled_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
+        # Offsets count characters. Where the next token begins in this one's last character, its bytes say where it ends.
+        offsets = np.array(left.offsets, np.int64)
+        coarse = offsets[:, 1]
+        if len(raw) != len(text):
+            first_byte = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
+            coarse = np.append(first_byte, len(raw))[coarse]
+        shared = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
+        # Spans count bytes after the leading space. Single bytes of a character have one span, or none.
+        spans = np.fromiter((p.end for p in right), np.int64, len(right)) + 1
+        return ids_a, np.where(shared, spelled_a, coarse), ids_b, np.where(self.is_byte[ids_b], spelled_b, spans)
+
+    def _grouped(self, units: np.ndarray, cuts: np.ndarray, ids_a: np.ndarray, ends_a: np.ndarray, ids_b: np.ndarray, ends_b: np.ndarray) -> Units:
+        of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        unit, n = np.searchsorted(units, cuts), len(units)
+        per_a, per_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        total = lambda values: np.bincount(unit, values, n).astype(np.int64)
+        numbers = [total(per_a), total(per_b), np.bincount(unit, minlength=n), total(per_a * per_b)]
+        texts = pc.binary_join_element_wise(self._digits(ids_a, per_a), self._digits(ids_b, per_b), pa.scalar(b"|", pa.large_binary()))
+        groups = pc.binary_join(_lists(texts, numbers[2]), pa.scalar(b";", pa.large_binary()))
+        # Distinct ids of each side of a group, then every A with every B of it.
+        side_a, many_a = np.unique(of_a << SHIFT | ids_a, return_counts=True)
+        side_b, many_b = np.unique(of_b << SHIFT | ids_b, return_counts=True)
+        mask = (1 << SHIFT) - 1
+        kinds_b = np.bincount(side_b >> SHIFT, minlength=len(cuts))
+        group = side_a >> SHIFT
+        left = np.repeat(np.arange(len(side_a)), kinds_b[group])
+        right = _ranges((np.cumsum(kinds_b) - kinds_b)[group], kinds_b[group])
+        pair, times = (side_a[left] & mask) << SHIFT | side_b[right] & mask, many_a[left] * many_b[right]
+        of = unit[group[left]]
+        order = np.lexsort((pair, of))
+        first, times = _sums((of[order], pair[order]), times[order])
+        return Units(np.ones(n, bool), numbers, groups, np.bincount(of[order][first], minlength=n), pair[order][first], times)
+
+    def _digits(self, ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
+        return pc.binary_join(_lists(self.digits.take(pa.array(ids)), sizes), pa.scalar(b",", pa.large_binary()))
+
+
+def _units_of_nothing(n: int) -> Units:
+    none = np.zeros(0, np.int64)
+    return Units(np.zeros(n, bool), [np.zeros(n, np.int64)] * 4, pa.array([b""] * n, pa.large_binary()), np.zeros(n, np.int64), none, none)
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int64()), values)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin``, ``size`` of them, one range after the other."""
+    return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+
+
+def _sums(keys: tuple[np.ndarray, ...], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and the sum of its values."""
+    if not len(values):
+        return np.zeros(0, np.int64), values
+    new = np.zeros(len(values), bool)
+    new[0] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    first = np.flatnonzero(new)
+    return first, np.add.reduceat(values, first)
 
 
 def _cuts_before_spaces(tokenizer: str) -> bool:
@@ -126,29 +199,6 @@ def _cuts_before_spaces(tokenizer: str) -> bool:
         before.get("use_regex", True)) and not before.get("add_prefix_space")
 
 
-def _entry(ids_a: list[int], ends_a: list[int], ids_b: list[int], ends_b: list[int]) -> Unit:
-    both = set(ends_a).intersection(ends_b)
-    tos_a = [k for k, e in enumerate(ends_a, 1) if e in both]
-    tos_b = [k for k, e in enumerate(ends_b, 1) if e in both]
-    links: Counter[int] = Counter()
-    texts, total, i, j = [], 0, 0, 0
-    for to_a, to_b in zip(tos_a, tos_b, strict=True):
-        left, right = ids_a[i:to_a], ids_b[j:to_b]
-        texts.append(f"{','.join(map(str, left))}|{','.join(map(str, right))}")
-        total += len(left) * len(right)
-        if len(left) == len(right) == 1:
-            links[left[0] << SHIFT | right[0]] += 1
-        else:
-            often = Counter(right)
-            for a, m in Counter(left).items():
-                for b, n in often.items():
-                    links[a << SHIFT | b] += m * n
-        i, j = to_a, to_b
-    n = len(links)
-    return (len(ids_a), len(ids_b), len(tos_a), total, ";".join(texts).encode(),
-            np.fromiter(links.keys(), np.int64, n).tobytes(), np.fromiter(links.values(), np.int64, n).tobytes())
-
-
 def _pair(tokenizer: str, model: str) -> Pair:
     make_room(__name__)
     kept = KEPT.get(__name__)
@@ -204,44 +254,32 @@ def _runs(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
 
 
 class _Part:
-    """Counts, groups and id pairs of a run of documents."""
+    """Counts, groups and id pairs of some documents."""
 
     def __init__(self, texts: pa.Array, pair: Pair):
         texts = pc.fill_null(texts, "")
         starts, number, words = _split(texts, pair)
         units = pair.units(words)
-        good = np.fromiter((u is not None for u in units), bool, len(units))
-        blank: Unit = (0, 0, 0, 0, b"", b"", b"")
-        filled = [u or blank for u in units]
         first = starts[:-1]
-        sizes = pc.binary_length(texts).to_numpy()
-        self.ok = np.minimum.reduceat(good[number], first) & (sizes > 0) if len(first) else np.zeros(0, bool)
-        self.numbers = [np.add.reduceat(np.fromiter((u[i] for u in filled), np.int64, len(filled))[number], first) * self.ok
-                        if len(first) else np.zeros(0, np.int64) for i in range(4)]
-        spelled = pa.array([u[4] for u in filled], pa.large_binary())
-        lists = pa.LargeListArray.from_arrays(pa.array(starts, pa.int64()), spelled.take(pa.array(number)))
-        self.groups = pc.if_else(pa.array(self.ok), pc.binary_join(lists, pa.scalar(b";", pa.large_binary())),
-                                 pa.scalar(b"", pa.large_binary()))
-        self._pairs(starts, number, filled)
-
-    def _pairs(self, starts: np.ndarray, number: np.ndarray, units: list[Unit]) -> None:
+        self.ok = np.minimum.reduceat(units.ok[number], first) & (pc.binary_length(texts).to_numpy() > 0)
+        self.numbers = [np.add.reduceat(values[number], first) * self.ok for values in units.numbers]
+        shown = self.ok[np.repeat(np.arange(len(first)), np.diff(starts))]
+        self.groups = pc.binary_join(_lists(units.groups.take(pa.array(number[shown])), np.diff(starts) * self.ok), pa.scalar(b";", pa.large_binary()))
+        self._pairs(starts, number, units)
+
+    def _pairs(self, starts: np.ndarray, number: np.ndarray, units: Units) -> None:
         """``doc``, ``pair`` and ``links`` of every id pair of every document."""
         doc = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         held = self.ok[doc]
-        key, times = np.unique(doc[held] * len(units) + number[held], return_counts=True)
-        doc, unit = np.divmod(key, len(units))
-        size = np.fromiter((len(u[5]) >> 3 for u in units), np.int64, len(units))
-        begin = np.cumsum(size) - size
-        pairs = np.frombuffer(b"".join([u[5] for u in units]), np.int64)
-        links = np.frombuffer(b"".join([u[6] for u in units]), np.int64)
-        n = size[unit]
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[unit], n)
-        distinct, code = np.unique(pairs, return_inverse=True)
+        key, times = np.unique(doc[held] * len(units.ok) + number[held], return_counts=True)
+        doc, unit = np.divmod(key, len(units.ok))
+        n = units.size[unit]
+        place = _ranges((np.cumsum(units.size) - units.size)[unit], n)
+        distinct, code = np.unique(units.pairs, return_inverse=True)
         key = np.repeat(doc, n) * max(len(distinct), 1) + code[place]
-        order = np.argsort(key, kind="stable")
-        key, amount = key[order], (links[place] * np.repeat(times, n))[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.links = np.add.reduceat(amount, first) if len(first) else amount
+        order = np.argsort(key)
+        key = key[order]
+        first, self.links = _sums((key,), (units.links[place] * np.repeat(times, n))[order])
         self.doc, at = np.divmod(key[first], max(len(distinct), 1))
         self.pair = distinct[at]
 
@@ -258,9 +296,9 @@ def token_groups(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(tokenizer, model)
         for batch in batches:
-            for run_ in _runs(batch, SLICE_BYTES):
-                part = _Part(run_.column(1), pair)
-                yield pa.RecordBatch.from_arrays([run_.column(0), part.groups.cast(pa.large_string()).cast(pa.string())], schema=arrow)
+            for block in _runs(batch, BLOCK_BYTES):
+                part = _Part(block.column(1), pair)
+                yield pa.RecordBatch.from_arrays([block.column(0), part.groups.cast(pa.large_string()).cast(pa.string())], schema=arrow)
 
     return _texts(docs).mapInArrow(run, schema)
 
@@ -290,32 +328,26 @@ def _aligned(docs: DataFrame, tokenizer: str, model: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for block in _runs(batch, BLOCK_BYTES):
-                held: list[tuple] = []
-                for run_ in _runs(block, SLICE_BYTES):
-                    part = _Part(run_.column(1), pair)
-                    shas = [hashlib.sha256(g).hexdigest() if g else "" for g in (x.as_py() for x in part.groups)]
-                    held.append((run_.column(0), part.numbers, shas, part.doc, part.pair, part.links))
-                yield from _block(number, held, arrow)
+                yield from _block(number, block.column(0), _Part(block.column(1), pair), arrow)
                 number += 1
 
     return _texts(docs).mapInArrow(run, _ALIGNED)
 
 
-def _block(number: int, held: list[tuple], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    pairs, counts = np.unique(np.concatenate([h[4] for h in held]), return_counts=True)
+def _block(number: int, ids: pa.Array, part: _Part, arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    pairs, place, counts = np.unique(part.pair, return_inverse=True, return_counts=True)
     for at in range(0, len(pairs), PAIRS):
-        part, count = pairs[at:at + PAIRS], counts[at:at + PAIRS]
-        yield _rows(arrow, 1, kind=[0], block=[number], first=[at], pairs=[part], docs=[count])
-    for ids, numbers, shas, doc, pair, links in held:
-        at, bounds = np.searchsorted(pairs, pair), np.searchsorted(doc, np.arange(len(ids) + 1))
-        for start in range(0, len(ids), 1024):
-            to = min(start + 1024, len(ids))
-            cut, own = bounds[start:to + 1], slice(start, to)
-            lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x[cut[0]:cut[-1]], kind))
-                     for x, kind in ((at, pa.int32()), (links, pa.int64()))]
-            yield _rows(arrow, to - start, kind=np.ones(to - start, np.int32), block=np.full(to - start, number), doc_id=ids[own],
-                        groups_sha256=shas[own], places=lists[0], links=lists[1],
-                        **{name: x[own] for name, x in zip(("n_a", "n_b", "n_groups", "n_links"), numbers, strict=True)})
+        yield _rows(arrow, 1, kind=[0], block=[number], first=[at], pairs=[pairs[at:at + PAIRS]], docs=[counts[at:at + PAIRS]])
+    bounds = np.searchsorted(part.doc, np.arange(len(ids) + 1))
+    for start in range(0, len(ids), 1024):
+        to = min(start + 1024, len(ids))
+        cut, own = bounds[start:to + 1], slice(start, to)
+        lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.array(x[cut[0]:cut[-1]], kind))
+                 for x, kind in ((place, pa.int32()), (part.links, pa.int64()))]
+        shas = [hashlib.sha256(g.as_buffer()).hexdigest() if g.as_buffer().size else "" for g in part.groups[start:to]]
+        yield _rows(arrow, to - start, kind=np.ones(to - start, np.int32), block=np.full(to - start, number), doc_id=ids[own],
+                    groups_sha256=shas, places=lists[0], links=lists[1],
+                    **{name: x[own] for name, x in zip(("n_a", "n_b", "n_groups", "n_links"), part.numbers, strict=True)})
 
 
 def _rows(arrow: pa.Schema, n: int, **columns) -> pa.RecordBatch:
