@@ -36,7 +36,7 @@ def main() -> None:
 
     timings: dict[str, float] = {}
     start = time.perf_counter()
-    shared_views(spark, folder)["index"]
+    shared_views(spark, folder)["search_index"]
     timings["build_index"] = round(time.perf_counter() - start, 3)
     for name in names:
         start = time.perf_counter()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vocarium.functions import text as tx
-from vocarium.operators import filters, fusion, highlight, lexical, quotes, search, vectors
+from vocarium.operators import filters, fusion, highlight, lexical, postings, quotes, search, vectors
 
 
 def rows(df, *columns):
@@ -76,7 +76,7 @@ def test_quote_match_and_search_equal_the_pattern(spark):
     queries = filters.with_parsed_query(spark.createDataFrame(
         [(i, " ".join(q), "quote", "all", None, None) for i, q in enumerate(asked)],
         "query_id BIGINT, text STRING, mode STRING, video_type STRING, date_from STRING, date_to STRING"))
-    found = lexical.quote_search(queries, lexical.lexical_index(points), 1000)
+    found = lexical.quote_search(queries, postings.write_index(points), 1000)
     assert set(rows(found, "query_id", "chunk_id")) == want and want
 
 

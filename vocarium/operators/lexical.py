@@ -1,25 +1,28 @@
-"""Full-text search for many queries at once.
+"""Full-text and quote search for many queries at once, answered from the written index.
 
-The corpus is scanned in place and is never shuffled: every query is looked up under a driver
-root, the rarest of its roots, through a broadcast table of bounded size; a document that holds
-the driver is checked and scored inside its own row. Only query-sized counts and each task's
-best hits travel.
+A search opens the postings of its own keys only and brings those of a block of documents together in one
+task. There a query skips the blocks whose largest score parts cannot reach the k-th best score so far;
+quotes follow stored word positions. Documents themselves are not read.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import text as tx
-from vocarium.operators.filters import passes
-from vocarium.operators.ranking import global_position, top_k_spread
-
-K1, B = 1.2, 0.75
+from vocarium.operators.postings import (
+    META, ROOT_ENTRY, WORD_ENTRY, Asked, SearchIndex, asked, blocks, by_block, quote_tokens, rarity, term_part, word_key)
+from vocarium.operators.ranking import HITS, Best, global_position, top_k_spread
 
 #: Queries answered by one scan; larger sets take several scans.
-QUERY_BATCH = 20_000
+QUERY_BATCH = 5_000
+
+_FILTERS = ("q_short", "q_4k", "date_lo", "date_hi", "v_id")
 
 
 def query_batches(queries: DataFrame, size: int = QUERY_BATCH) -> Iterator[DataFrame]:
@@ -33,105 +36,99 @@ def query_batches(queries: DataFrame, size: int = QUERY_BATCH) -> Iterator[DataF
         yield numbered.filter(F.col("_number").between(first, first + size - 1)).drop("_number")
 
 
-def lexical_index(points: DataFrame) -> DataFrame:
-    """Index rows with the roots of title and text in order.
-
-    Write it once (``session.written``) and search it often: the searches read ``roots`` as a
-    stored column.
-    """
-    return points.withColumn("roots", tx.roots(F.concat_ws(" ", "title", "text")))
+def collected_batches(queries: DataFrame, *columns: Column | str) -> Iterator[list]:
+    """Rows of the query set, at most ``QUERY_BATCH`` at a time."""
+    rows = queries.select(*columns).limit(QUERY_BATCH + 1).collect()
+    if len(rows) <= QUERY_BATCH:
+        yield rows
+        return
+    for batch in query_batches(queries, QUERY_BATCH):
+        yield batch.select(*columns).collect()
 
 
 def build_postings(points: DataFrame) -> DataFrame:
     """Postings ``(root, chunk_id, tf, length)``; counted per document, so no term gathers in one task."""
-    index = lexical_index(points).select("chunk_id", "roots", F.size("roots").cast("bigint").alias("length"))
-    return (index.select("chunk_id", "length", F.explode("roots").alias("root"))
+    index = points.select("chunk_id", tx.roots(F.concat_ws(" ", "title", "text")).alias("roots"))
+    return (index.select("chunk_id", F.size("roots").cast("bigint").alias("length"), F.explode("roots").alias("root"))
             .groupBy("chunk_id", "root").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
 
 
-def document_frequencies(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Documents per root, for the roots of the vocabulary only."""
-    return (
-        index.select(F.explode(F.array_distinct("roots")).alias("root"))
-        .join(F.broadcast(vocabulary), "root").groupBy("root").agg(F.count("*").alias("df")))
-
-
-def _with_roots(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("query_roots", F.array_sort(F.array_distinct(
-        tx.roots(tx.sanitize_query(F.col("clean")))))).filter(F.size("query_roots") > 0)
-
-
-def _candidates(index: DataFrame, queries: DataFrame, match: str) -> DataFrame:
-    """(query, document) rows that satisfy the roots and the filters of the query."""
-    wanted = _with_roots(queries)
-    terms = wanted.select("query_id", F.explode("query_roots").alias("root"))
-    frequencies = document_frequencies(index, terms.select("root").distinct())
-    rare_first = F.array_sort(F.collect_list(F.struct("df", "root")))
-    known = terms.join(F.broadcast(frequencies), "root", "left").groupBy("query_id").agg(
-        rare_first.alias("terms"), F.count("df").alias("known"), F.count("*").alias("asked"))
-    if match == "all":
-        # A root no document has ends the query here; the rarest one drives the rest.
-        known = known.filter("known = asked").withColumn("driver", F.array(F.get("terms", F.lit(0))["root"]))
-    else:
-        known = known.withColumn("terms", F.filter("terms", lambda t: t["df"].isNotNull())).withColumn(
-            "driver", F.transform("terms", lambda t: t["root"]))
-    driven = (
-        known.withColumn("query_roots", F.transform("terms", lambda t: t["root"]))
-        .join(wanted.drop("query_roots"), "query_id")
-        .select("query_id", "terms", "query_roots", "q_short", "q_4k", "date_lo", "date_hi", "v_id",
-                F.explode("driver").alias("root")))
-    # Plain array functions only: a lambda in the join condition would switch off code generation
-    # and copy every document's roots once per root.
-    found = (
-        index.withColumn("root", F.explode(F.array_distinct("roots")))
-        .join(F.broadcast(driven), "root").filter(passes()))
-    if match == "all":
-        return found.filter(F.size(F.array_except("query_roots", "roots")) == 0)
-    # Several roots of a query may lead here; only the first one present counts.
-    return found.filter(F.get(F.array_intersect("query_roots", "roots"), F.lit(0)) == F.col("root"))
-
-
-def bm25_score(total: Column, average: Column) -> Column:
-    """BM25 of the row's ``roots`` for its ``terms`` (rarest first)."""
-    length = F.size("roots")
-
-    def part(score: Column, term: Column) -> Column:
-        tf = F.size(F.filter("roots", lambda r: r == term["root"]))
-        idf = F.ln(1 + (total - term["df"] + 0.5) / (term["df"] + 0.5))
-        return score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-
-    # Compared at nine decimals, so the order of summation cannot break a tie.
-    return F.round(F.aggregate("terms", F.lit(0.0), part), 9)
-
-
-def bm25_search(queries: DataFrame, index: DataFrame, k: int = 100, match: str = "all") -> DataFrame:
+def bm25_search(queries: DataFrame, index: SearchIndex, k: int = 100, match: str = "all") -> DataFrame:
     """Best ``k`` documents per query: ``(query_id, chunk_id, score, rank)``; ties by id.
 
-    ``queries`` comes from ``with_parsed_query``; ``index`` from ``lexical_index``. ``match``
-    is ``all`` (every root must occur) or ``any``.
+    ``queries`` comes from ``with_parsed_query``. ``match`` is ``all`` (every root must occur) or ``any``.
     """
-    stats = index.agg(F.count("*").alias("n"), F.avg(F.size("roots")).alias("avg_len"))
-    total, average = stats.select("n").scalar(), stats.select("avg_len").scalar()
+    every = match == "all"
+    roots = F.array_distinct(tx.roots(tx.sanitize_query(F.col("clean"))))
     parts = None
-    for batch in query_batches(queries):
-        counted = _candidates(index, batch, match).withColumns({"total": total, "average": average})
-        scored = counted.select("query_id", "chunk_id", bm25_score(F.col("total"), F.col("average")).alias("score"))
-        best = top_k_spread(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    # The queries of a batch and the frequencies of their roots are bounded by its size.
+    for rows in collected_batches(queries, "query_id", *_FILTERS, roots.alias("roots")):
+        frequencies = _frequencies(index, sorted({root for row in rows for root in row["roots"]}))
+        if every:
+            rows = [row for row in rows if row["roots"] and all(root in frequencies for root in row["roots"])]
+        terms: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for place, row in enumerate(rows):
+            for root in row["roots"]:
+                if root in frequencies:
+                    terms[root].append((place, frequencies[root]))
+        wanted = {root: (np.array([p for p, _ in own]), np.array([w for _, w in own])) for root, own in terms.items()}
+        count = np.array([len(row["roots"]) if every else 1 for row in rows], dtype=np.int64)
+        work = _ranked(asked(rows), wanted, count, k, index.average, index.block)
+        found = by_block(index.roots, list(wanted), index.folders).mapInArrow(work, HITS)
+        best = top_k_spread(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
 
+def _frequencies(index: SearchIndex, roots: list[str]) -> dict[str, float]:
+    """How much each root weighs that some document has."""
+    wanted = index.terms.sparkSession.createDataFrame([(r,) for r in roots], "key string")
+    found = index.terms.join(F.broadcast(wanted), "key").select("key", rarity(index.total, F.col("df")).alias("weight"))
+    return {r["key"]: r["weight"] for r in found.collect()}
+
+
+def _ranked(queries: Asked, wanted: dict[str, tuple[np.ndarray, np.ndarray]], count: np.ndarray, k: int, average: float, block: int):
+    """Best ``k`` of a task's blocks for each query; ``wanted`` has queries and weights by root, ``count`` the roots a hit needs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(queries.ids):
+            return
+        best = Best(len(queries.ids), k)
+        for keys, tops, entries in blocks(batches, ROOT_ENTRY):
+            holders = [wanted[key] for key in keys]
+            of = np.repeat(np.arange(len(keys)), [len(h[0]) for h in holders])
+            query, weight = (np.concatenate([h[i] for h in holders]) for i in (0, 1))
+            met = np.bincount(query, minlength=len(queries.ids))
+            bound = np.bincount(query, weight * np.array(tops)[of], len(queries.ids))
+            alive = [q for q in np.flatnonzero(met >= count).tolist() if met[q] and bound[q] + 1e-8 >= best.least(q)]
+            if not alive:
+                continue
+            parts = [term_part(e["tf"], e["length"], average) for e in entries]
+            meta = {name: np.zeros(block, entries[0][name].dtype) for name in META}
+            for e in entries:
+                for name, column in meta.items():
+                    column[e["slot"]] = e[name]
+            order = np.argsort(query, kind="stable")
+            first, beyond = np.searchsorted(query[order], alive, "left"), np.searchsorted(query[order], alive, "right")
+            for q, start, end in zip(alive, first.tolist(), beyond.tolist(), strict=True):
+                score, hits = np.zeros(block), np.zeros(block, np.int64)
+                for at in order[start:end].tolist():
+                    slots = entries[of[at]]["slot"]
+                    score[slots] += weight[at] * parts[of[at]]
+                    hits[slots] += 1
+                held = np.flatnonzero((hits >= count[q]) & (hits > 0) & queries.passes(q, meta))
+                # Compared at nine decimals, so the order of summation cannot break a tie.
+                best.add(q, meta["chunk_id"][held], np.round(score[held], 9))
+        yield best.batch(queries.ids)
+
+    return run
+
+
 # -- quotes --------------------------------------------------------------------------------
 
 #: Words allowed between two words of a quote.
 GAP = 10
 
 
-def quote_tokens(text: Column) -> Column:
-    """Words in order; an underscore next to a word stays on it and keeps it from matching."""
-    return F.regexp_extract_all(F.regexp_replace(F.lower(text), "_", "_ _"), F.lit(r"_?[\p{L}\p{N}]+_?"), F.lit(0))
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, also where lambdas use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -181,48 +178,70 @@ def quote_match(text: Column, quote: Column) -> Column:
     return bind(quote_tokens(text), lambda words: F.size(quote_positions(words, quote)) > 0)
 
 
-def only_where(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter that stays behind the join it follows.
-
-    A condition with lambdas would be moved into the join and switch off its code generation.
-    """
-    return df.withColumn("_kept", F.explode(F.when(condition, F.array(F.lit(True))))).drop("_kept")
-
-
-def quote_search(queries: DataFrame, index: DataFrame, limits: int) -> DataFrame:
+def quote_search(queries: DataFrame, index: SearchIndex, limits: int) -> DataFrame:
     """Chunks holding the quote: ``(query_id, chunk_id, score, rank)``, first ``limits`` per query by id.
 
-    Candidates hold a token under every key of the quote and are found by the rarest; the exact check runs in the row.
+    A block that lacks a key of a quote is skipped; in the others the positions of the words that match are
+    followed from the first quoted word to the last.
     """
+    words = F.transform(tx.tokens(F.col("clean")), lambda w: F.struct(w.alias("word"), tx.word_root(w).alias("root"), word_key(w).alias("key")))
     parts = None
-    for batch in query_batches(queries):
-        parsed = batch.withColumn("quote", tx.tokens(F.col("clean"))).filter(F.size("quote") > 0)
-        parsed = parsed.withColumn("quote_keys", F.array_distinct(F.transform("quote", _word_key)))
-        keys = parsed.select("query_id", "quote", "quote_keys", "q_short", "q_4k", "date_lo", "date_hi", "v_id",
-                             F.explode("quote_keys").alias("key"))
-        docs = index.withColumn("keys", _token_keys(tx.tokens(F.col("text"))))
-        seen = docs.select(F.explode("keys").alias("key")).join(
-            F.broadcast(keys.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("df"))
-        rarest = keys.join(F.broadcast(seen), "key").groupBy("query_id").agg(
-            F.min_by("key", F.struct("df", "key")).alias("key"))
-        driven = keys.join(rarest, ["query_id", "key"])
-        near = docs.withColumn("key", F.explode("keys")).join(F.broadcast(driven), "key").filter(passes())
-        near = near.filter(F.size(F.array_except("quote_keys", "keys")) == 0)
-        hits = only_where(near, quote_match(F.col("text"), F.col("quote"))).select(
-            "query_id", "chunk_id", F.lit(100.0).alias("score"))
-        best = top_k_spread(hits, ["query_id"], [F.asc("chunk_id")], limits)
+    for rows in collected_batches(queries, "query_id", *_FILTERS, words.alias("words")):
+        rows = [row for row in rows if row["words"]]
+        quotes = [[(w["key"], w["word"], w["root"]) for w in row["words"]] for row in rows]
+        keys = sorted({key for quote in quotes for key, _, _ in quote})
+        found = by_block(index.words, keys, index.folders).mapInArrow(_quoted(asked(rows), quotes, limits), HITS)
+        best = top_k_spread(found, ["query_id"], [F.asc("chunk_id")], limits)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
 
-def _word_key(word: Column) -> Column:
-    """Key shared by a quoted word and every token that can match it."""
-    return F.when(F.length(word) <= 3, F.concat(F.lit("="), F.rtrim(word, F.lit("её")))).otherwise(
-        F.concat(F.lit("~"), F.substring(word, 1, 3)))
+def _quoted(queries: Asked, quotes: list[list[tuple[str, str, str]]], limits: int):
+    needs: dict[str, list[int]] = defaultdict(list)
+    for place, quote in enumerate(quotes):
+        for key in {key for key, _, _ in quote}:
+            needs[key].append(place)
+    kinds = np.array([len({key for key, _, _ in quote}) for quote in quotes])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not quotes:
+            return
+        best = Best(len(quotes), limits)
+        for keys, _, entries in blocks(batches, WORD_ENTRY):
+            met = np.bincount(np.concatenate([needs[key] for key in keys]), minlength=len(quotes))
+            rows = dict(zip(keys, entries, strict=True))
+            tokens = {key: np.unique(e["token"].astype(str), return_inverse=True) for key, e in rows.items()}
+            for q in np.flatnonzero(met == kinds).tolist():
+                best.add(q, *_followed(quotes[q], rows, tokens, queries, q))
+        yield best.batch(queries.ids)
 
-def _token_keys(words: Column) -> Column:
-    bare = F.transform(words, lambda w: F.rtrim(w, F.lit("её")))
-    short = F.transform(F.filter(bare, lambda w: F.length(w) <= 3), lambda w: F.concat(F.lit("="), w))
-    long = F.transform(words, lambda w: F.concat(F.lit("~"), F.substring(w, 1, 3)))
-    return F.array_union(short, long)
+    return run
+
+
+def _followed(quote: list[tuple[str, str, str]], rows: dict, tokens: dict, queries: Asked, query: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the documents of a block that hold the quote, each with the score of a quote.
+
+    Positions reached, not paths, are carried from word to word: a token counts when one of the ``GAP + 1``
+    positions before it in its document was reached.
+    """
+    reached = None
+    for key, word, root in quote:
+        entry, (known, code) = rows[key], tokens[key]
+        fits = np.array([_fits(token, word, root) for token in known.tolist()], bool)[code]
+        place = np.sort(entry["slot"][fits].astype(np.int64) << 32 | entry["pos"][fits])
+        if reached is not None:
+            before = np.searchsorted(reached, place) - 1  # the last reached position that is smaller
+            place = place[(before >= 0) & (place - reached[before] <= GAP + 1)]
+        reached = place
+        if not len(reached):
+            break
+    slots = np.unique(reached >> 32)
+    entry = rows[quote[-1][0]]
+    at = np.flatnonzero(np.isin(entry["slot"], slots) & queries.passes(query, entry))
+    ids = entry["chunk_id"][at][np.unique(entry["slot"][at], return_index=True)[1]]
+    return ids, np.full(len(ids), 100.0)
+
+
+def _fits(token: str, word: str, root: str) -> bool:
+    """As ``word_matches``, of a token without underscores."""
+    return token.startswith(root) and (len(word) > 3 or not token[len(word):].strip("её"))

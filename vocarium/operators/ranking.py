@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vocarium.session import materialise
@@ -84,3 +86,42 @@ def vector_sample(df: DataFrame, id_col: str, size: int) -> DataFrame:
         return numbered.limit(0).select(id_col)
     step = max(1, total // wanted)
     return numbered.filter((F.col("position") % step == 0) & (F.col("position") < step * wanted)).select(id_col)
+
+
+#: Hits of many queries, as tasks send them.
+HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
+_ARROW = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
+
+
+class Best:
+    """Running best ``k`` of each query; ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.ids = [np.empty(0, np.int64)] * queries
+        self.scores = [np.empty(0)] * queries
+
+    def least(self, query: int) -> float:
+        """Score that a new result must reach."""
+        held = self.scores[query]
+        return held[-1] if len(held) == self.k else -np.inf
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        held = self.scores[query]
+        if len(held) == self.k:
+            enough = scores >= held[-1]
+            ids, scores = ids[enough], scores[enough]
+        if not len(ids):
+            return
+        ids, scores = np.concatenate([self.ids[query], ids]), np.concatenate([held, scores])
+        if len(ids) > 4 * self.k:
+            floor = np.partition(scores, -self.k)[-self.k]
+            ids, scores = ids[scores >= floor], scores[scores >= floor]
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids[query], self.scores[query] = ids[order], scores[order]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        sizes = [len(i) for i in self.ids]
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate(self.ids)),
+            pa.array(np.concatenate(self.scores))], schema=_ARROW)

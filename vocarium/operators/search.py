@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vocarium.functions import identity
-from vocarium.operators import fusion, lexical, points as point_ops, vectors
+from vocarium.operators import fusion, lexical, points as point_ops, postings, vectors
 from vocarium.operators.filters import filter_only_matches, with_parsed_query
 from vocarium.operators.ranking import top_k, top_k_spread
 from vocarium.session import written
@@ -23,26 +23,26 @@ def route(queries: DataFrame) -> DataFrame:
     return parsed.withColumn("branch", branch)
 
 
-def ranked_candidates(routed: DataFrame, index: DataFrame, dimension: int, match: str = "all") -> DataFrame:
+def ranked_candidates(routed: DataFrame, index: postings.SearchIndex, dimension: int, match: str = "all") -> DataFrame:
     """Fused dense and lexical candidates of hybrid, semantic and lexical queries.
 
     A query without text still has its vector (that of a fixed default word) but no words, so
     the lexical branch finds nothing for it.
     """
     ranked = routed.filter("branch = 'ranked'")
-    dense = vectors.knn_search(ranked.filter("mode IN ('semantic', 'hybrid')"), index, PREFETCH, dimension)
+    dense = vectors.knn_search(ranked.filter("mode IN ('semantic', 'hybrid')"), index.docs, PREFETCH, dimension)
     words = lexical.bm25_search(ranked.filter("mode IN ('lexical', 'hybrid') AND clean <> ''"), index, PREFETCH, match)
     return fusion.rrf_merge(dense, words)
 
 
-def candidates(routed: DataFrame, index: DataFrame, dimension: int, limit: int, match: str = "all") -> DataFrame:
+def candidates(routed: DataFrame, index: postings.SearchIndex, dimension: int, limit: int, match: str = "all") -> DataFrame:
     """Candidates of all branches with score, kind of match and position in their list."""
     fused = ranked_candidates(routed, index, dimension, match)
     empty = {"semantic": F.lit(0.0), "lexical": F.lit(0.0), "dense_rank": F.lit(None).cast("int")}
     quoted = lexical.quote_search(routed.filter("branch = 'quote'"), index, 3 * limit).select(
         "query_id", "chunk_id", F.col("score").alias("combined"), F.lit("quote").alias("match_type"),
         F.col("rank").alias("lexical_rank")).withColumns(empty)
-    filtered = top_k_spread(filter_only_matches(routed.filter("branch = 'filter'"), index), ["query_id"],
+    filtered = top_k_spread(filter_only_matches(routed.filter("branch = 'filter'"), index.docs), ["query_id"],
                      [F.asc("video_id"), F.asc("chunk_index")], limit).select(
         "query_id", "chunk_id", F.lit(1.0).alias("combined"), F.lit("filter").alias("match_type"),
         F.col("rank").alias("lexical_rank")).withColumns(empty)
@@ -92,20 +92,17 @@ def present(hits: DataFrame, routed: DataFrame, limit: int) -> DataFrame:
                                                                       "lexical_rank")
 
 
-def hybrid_search(queries: DataFrame, points: DataFrame, videos: DataFrame, flags: DataFrame, *, dimension: int,
+def hybrid_search(queries: DataFrame, index: postings.SearchIndex, videos: DataFrame, flags: DataFrame, *, dimension: int,
                   limit: int = 20, match: str = "all") -> DataFrame:
     """Answer every query in its own mode: ``hybrid``, ``semantic``, ``lexical`` or ``quote``.
 
-    Queries without text that carry a filter list what passes it. Points that are not an index
-    yet are written as one first, since every branch reads them.
+    Queries without text that carry a filter list what passes it. ``index`` comes from ``postings.write_index``.
     """
-    index = points if "roots" in points.columns else written(lexical.lexical_index(points), "index")
     parts = None
-    # Every branch reads the parsed queries, so they are parsed once.
-    for batch in lexical.query_batches(written(route(queries), "queries"), vectors.QUERY_BLOCK):
-        # At most a few hundred hits for each query of a bounded batch.
-        found = F.broadcast(candidates(batch, index, dimension, limit, match))
-        hits = hydrate(found, index, videos, flags)
-        shown = present(hits, batch, limit)
+    # Every branch reads the parsed queries, so they are parsed once; so are the candidates, at most a
+    # few hundred for each query, which meet documents, videos and flags.
+    for batch in lexical.query_batches(written(route(queries), "queries")):
+        found = written(candidates(batch, index, dimension, limit, match), "candidates")
+        shown = present(hydrate(found, index.docs, videos, flags), batch, limit)
         parts = shown if parts is None else parts.unionByName(shown)
     return parts

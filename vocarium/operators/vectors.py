@@ -19,7 +19,7 @@ from vocarium.functions import text as tx
 from vocarium.functions.identity import squared_norm
 from vocarium.operators.filters import passes
 from vocarium.operators.lexical import bind, query_batches
-from vocarium.operators.ranking import top_k, top_k_spread
+from vocarium.operators.ranking import HITS, Best, top_k, top_k_spread
 from vocarium.session import materialise
 
 #: Query vectors held by a task, and vectors multiplied at once.
@@ -28,7 +28,6 @@ QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 #: Share of the vectors that is scanned first, for a lower bound of every query's scores.
 PRESCAN = 1 / 64
 
-_HITS = "query_id BIGINT, chunk_id BIGINT, score DOUBLE"
 _FILTERS = ("q_short", "q_4k", "date_lo", "date_hi", "v_id")
 _META = ("video_id", "recorded_date", "is_short", "is_4k")
 
@@ -64,37 +63,6 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return values.reshape(batch.num_rows, -1)
 
 
-class _Best:
-    """Running best ``k`` of each query; ties go to the smaller id."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k = k
-        self.ids = [np.empty(0, np.int64)] * queries
-        self.scores = [np.empty(0)] * queries
-
-    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        held = self.scores[query]
-        if len(held) == self.k:
-            enough = scores >= held[-1]
-            ids, scores = ids[enough], scores[enough]
-        if not len(ids):
-            return
-        ids, scores = np.concatenate([self.ids[query], ids]), np.concatenate([held, scores])
-        if len(ids) > 4 * self.k:
-            floor = np.partition(scores, -self.k)[-self.k]
-            ids, scores = ids[scores >= floor], scores[scores >= floor]
-        order = np.lexsort((ids, -scores))[: self.k]
-        self.ids[query], self.scores[query] = ids[order], scores[order]
-
-    def batch(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-        sizes = [len(i) for i in self.ids]
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.repeat(query_ids, sizes)), pa.array(np.concatenate(self.ids)),
-            pa.array(np.concatenate(self.scores))], schema=schema)
-
-
-_ARROW = pa.schema([("query_id", pa.int64()), ("chunk_id", pa.int64()), ("score", pa.float64())])
-
 #: Scores of every query of a block against every vector of a batch.
 Scorer = Callable[[_Block, np.ndarray], np.ndarray]
 
@@ -118,7 +86,7 @@ def _scan(block: _Block, k: int, scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(block.ids):
             return
-        best = _Best(len(block.ids), k)
+        best = Best(len(block.ids), k)
         for whole in batches:
             for start in range(0, whole.num_rows, VECTOR_BLOCK):
                 batch = whole.slice(start, VECTOR_BLOCK)
@@ -135,7 +103,7 @@ def _scan(block: _Block, k: int, scorer: Scorer):
                     if block.video[q] >= 0:
                         allowed &= video == block.video[q]
                     best.add(q, ids[allowed], scores[q][allowed])
-        yield best.batch(block.ids, _ARROW)
+        yield best.batch(block.ids)
 
     return run
 
@@ -152,7 +120,7 @@ def _scan_all(queries: DataFrame, points: DataFrame, k: int, dimension: int, sco
     for batch in query_batches(usable_vectors(queries, dimension), QUERY_BLOCK):
         block = _query_block(batch)
         block = block._replace(floor=_floors(block, vectors.sample(PRESCAN, seed=1), k, scorer))
-        best = top_k_spread(vectors.mapInArrow(_scan(block, k, scorer), _HITS), ["query_id"], order, k)
+        best = top_k_spread(vectors.mapInArrow(_scan(block, k, scorer), HITS), ["query_id"], order, k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
@@ -163,7 +131,7 @@ def _floors(block: _Block, sample: DataFrame, k: int, scorer: Scorer) -> np.ndar
     The k-th best of a part is never above the k-th best of the whole, so nothing that belongs
     in the result falls below it, while tasks far from the query send nothing.
     """
-    kth = top_k_spread(sample.mapInArrow(_scan(block, k, scorer), _HITS), ["query_id"],
+    kth = top_k_spread(sample.mapInArrow(_scan(block, k, scorer), HITS), ["query_id"],
                        [F.desc("score"), F.asc("chunk_id")], k).filter(F.col("rank") == k).select("query_id", "score")
     found = {r["query_id"]: r["score"] for r in kth.collect()}
     return np.array([found.get(int(i), -np.inf) for i in block.ids])

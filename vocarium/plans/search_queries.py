@@ -141,7 +141,7 @@ def shown(hits):
 
 @query("hybrid_search", tail_sql("{candidates}"))
 def hybrid_search(v):
-    return shown(search.hybrid_search(v["queries"], v["index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT))
+    return shown(search.hybrid_search(v["queries"], v["search_index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT))
 
 
 @query("semantic_search", tail_sql("{fused}").replace("{fused}", """(
@@ -150,7 +150,7 @@ def hybrid_search(v):
     WHERE query_id IN (SELECT query_id FROM {routed} WHERE mode = 'semantic'))"""))
 def semantic_search(v):
     asked = v["queries"].filter("mode = 'semantic'")
-    hits = search.hybrid_search(asked, v["index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT)
+    hits = search.hybrid_search(asked, v["search_index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT)
     return shown(hits.filter("match_type = 'semantic'"))
 
 
@@ -160,21 +160,21 @@ def semantic_search(v):
     WHERE query_id IN (SELECT query_id FROM {routed} WHERE mode = 'lexical'))"""))
 def lexical_search(v):
     asked = v["queries"].filter("mode = 'lexical'")
-    hits = search.hybrid_search(asked, v["index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT)
+    hits = search.hybrid_search(asked, v["search_index"], v["videos"], v["flags"], dimension=DIMENSION, limit=LIMIT)
     return shown(hits.filter("match_type = 'keyword'"))
 
 
 @query("bm25_search", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {lexical_hits}")
 def bm25_search(v):
     asked = v["routed"].filter(_LEXICAL)
-    return lexical.bm25_search(asked, v["index"], 100).select(
+    return lexical.bm25_search(asked, v["search_index"], 100).select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_any", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (" + bm25_sql(_LEXICAL, False) + ")")
 def bm25_any(v):
     asked = v["routed"].filter(_LEXICAL)
-    return lexical.bm25_search(asked, v["index"], 100, "any").select(
+    return lexical.bm25_search(asked, v["search_index"], 100, "any").select(
         "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -187,7 +187,7 @@ def build_postings(v):
 
 @query("quote_search", "SELECT query_id, chunk_id, score, rank FROM {quote_hits}")
 def quote_search(v):
-    return lexical.quote_search(v["routed"].filter("branch = 'quote'"), v["index"], 60)
+    return lexical.quote_search(v["routed"].filter("branch = 'quote'"), v["search_index"], 60)
 
 
 @query("knn_search", "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM {dense_hits}")
@@ -269,7 +269,7 @@ def knn_recall(v):
 
 @query("rrf_rank", "SELECT query_id, chunk_id, rank FROM {lexical_hits} WHERE rank <= 100")
 def rrf_rank(v):
-    scored = lexical.bm25_search(v["routed"].filter(_LEXICAL), v["index"], 200).drop("rank")
+    scored = lexical.bm25_search(v["routed"].filter(_LEXICAL), v["search_index"], 200).drop("rank")
     return ranking.top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 100).select(
         "query_id", "chunk_id", "rank")
 
@@ -279,7 +279,7 @@ _FUSED_OUT = ("SELECT query_id, chunk_id, round(combined, 9) AS combined, match_
 
 
 def _fused(v):
-    return search.ranked_candidates(v["routed"], v["index"], DIMENSION).select(
+    return search.ranked_candidates(v["routed"], v["search_index"], DIMENSION).select(
         "query_id", "chunk_id", F.round("combined", 9).alias("combined"), "match_type",
         F.round("semantic", 6).alias("semantic"), F.round("lexical", 6).alias("lexical"))
 
@@ -292,19 +292,19 @@ def rrf_merge(v):
 @query("rrf_full_outer", "SELECT query_id, match_type, count(*) AS n, round(sum(combined), 6) AS total FROM {fused} "
                          "GROUP BY query_id, match_type")
 def rrf_full_outer(v):
-    return search.ranked_candidates(v["routed"], v["index"], DIMENSION).groupBy("query_id", "match_type").agg(
+    return search.ranked_candidates(v["routed"], v["search_index"], DIMENSION).groupBy("query_id", "match_type").agg(
         F.count("*").alias("n"), F.round(F.sum("combined"), 6).alias("total"))
 
 
 @query("branch_union", "SELECT query_id, chunk_id FROM {dense_hits} UNION SELECT query_id, chunk_id FROM {lexical_hits}")
 def branch_union(v):
-    return search.ranked_candidates(v["routed"], v["index"], DIMENSION).select("query_id", "chunk_id")
+    return search.ranked_candidates(v["routed"], v["search_index"], DIMENSION).select("query_id", "chunk_id")
 
 
 @query("topk_hits", f"SELECT query_id, chunk_id, round(combined, 9) AS combined, row_number() OVER (PARTITION BY query_id "
                     f"ORDER BY {_ORDER}) AS rank FROM {{fused}} QUALIFY rank <= 20")
 def topk_hits(v):
-    fused = search.ranked_candidates(v["routed"], v["index"], DIMENSION)
+    fused = search.ranked_candidates(v["routed"], v["search_index"], DIMENSION)
     return ranking.top_k(fused, ["query_id"], fusion.fusion_order(), LIMIT).select(
         "query_id", "chunk_id", F.round("combined", 9).alias("combined"), "rank")
 
@@ -359,7 +359,7 @@ def filter_scan(v):
 SELECT h.query_id, h.chunk_id, p.video_id, v.title, v.source_file_id FROM {lexical_hits} h JOIN {index} p USING (chunk_id)
 LEFT JOIN {videos} v ON v.id = p.video_id""")
 def hydrate_hits(v):
-    hits = lexical.bm25_search(v["routed"].filter(_LEXICAL), v["index"], 100).select("query_id", "chunk_id")
+    hits = lexical.bm25_search(v["routed"].filter(_LEXICAL), v["search_index"], 100).select("query_id", "chunk_id")
     return search.hydrate(hits, v["index"], v["videos"], v["flags"]).select(
         "query_id", "chunk_id", "video_id", "title", "source_file_id")
 
@@ -452,7 +452,7 @@ def toggle_short(v):
 SELECT query_id, chunk_id FROM {{quote_hits}}""")
 def quote_match(v):
     asked = v["routed"].filter("branch = 'quote'")
-    hits = lexical.quote_search(asked, v["index"], 60).select("query_id", "chunk_id")
+    hits = lexical.quote_search(asked, v["search_index"], 60).select("query_id", "chunk_id")
     text = v["index"].select("chunk_id", "text").join(hits, "chunk_id")
     checked = text.join(asked.select("query_id", "clean"), "query_id")
     return checked.filter(lexical.quote_match(F.col("text"), tx.tokens(F.col("clean")))).select("query_id", "chunk_id")

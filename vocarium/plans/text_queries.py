@@ -323,7 +323,7 @@ def resolve_quote_start(v):
 def _quoted(v):
     """Hits of the quote queries with their text."""
     asked = v["routed"].filter("branch = 'quote'")
-    hits = lexical.quote_search(asked, v["index"], 60).select("query_id", "chunk_id")
+    hits = lexical.quote_search(asked, v["search_index"], 60).select("query_id", "chunk_id")
     return v["index"].select("chunk_id", "text").join(hits, "chunk_id").join(
         asked.select("query_id", "clean"), "query_id")
 
@@ -359,7 +359,7 @@ JOIN (SELECT query_id, list_concat(ws, list_transform(ws, lambda w: {root_sql('w
 @query("word_highlight", _MARKS)
 def word_highlight(v):
     asked = v["routed"].filter("branch = 'ranked' AND mode IN ('lexical', 'hybrid') AND clean <> ''")
-    hits = lexical.bm25_search(asked, v["index"], 100).select("query_id", "chunk_id")
+    hits = lexical.bm25_search(asked, v["search_index"], 100).select("query_id", "chunk_id")
     texts = v["index"].select("chunk_id", "text").join(hits, "chunk_id").join(
         asked.select("query_id", "clean"), "query_id")
     marked = texts.withColumn("marked", highlight.word_highlight(F.col("text"), F.col("clean")))

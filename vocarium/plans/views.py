@@ -13,8 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vocarium.functions.text import WHITESPACE, strip
-from vocarium.operators import chunking, lexical, points as point_ops, search
-from vocarium.session import written
+from vocarium.operators import chunking, points as point_ops, postings, search
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -305,7 +304,9 @@ FROM {derived_chunks} c JOIN {videos} v ON v.id = c.video_id
 LEFT JOIN {embeddings} e ON e.vec_id * 1000000 = c.video_id * 1000000 + c.chunk_index
 """
 
-SPARK["index"] = lambda v: written(lexical.lexical_index(v["points"]), "index")
+# The written tables of the search index; ``index`` are its documents.
+SPARK["search_index"] = lambda v: postings.write_index(v["points"])
+SPARK["index"] = lambda v: v["search_index"].docs
 
 
 def root_sql(word: str) -> str:
