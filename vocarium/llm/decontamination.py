@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vocarium.llm.rows import map_rows, texts
+from vocarium.session import written
 
 SIMILARITY = 0.8
 RECALL = 0.98
@@ -358,7 +359,11 @@ def _search(spark: SparkSession, docs: DataFrame, block: list, similarity: float
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with their columns.
 
-    Where rows share an id, also a null one, and one of them is contaminated, all of them go.
+    Every row is judged by its own text, under a number written with it; ids may repeat or be null.
     """
-    found = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id")), "left_anti")
+    at = len(docs.columns)
+    place = [name.lower() for name in docs.columns].index("text")
+    numbered = written(docs.toDF(*[f"c{i}" for i in range(at)]).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    named = numbered.select(F.col("_row").alias("doc_id"), F.col(f"c{place}").alias("text"))
+    found = contaminated(named, benchmark, similarity).select(F.col("doc_id").alias("_row")).distinct()
+    return numbered.join(found, "_row", "left_anti").select(*[f"c{i}" for i in range(at)]).toDF(*docs.columns)

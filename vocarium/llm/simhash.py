@@ -267,12 +267,6 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; two empty sets are equal."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
 _MASKS, _FACTORS = _DRAWN[0][:, None], _DRAWN[1][:, None] | np.uint64(1)
 
@@ -297,17 +291,20 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
     which grows from round to round until all pairs have met or all members are in one component.
     """
     def mark(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for key, row, text in rows:
+        for row_no, key, row, text in rows:
             hashes = shingle_hashes(text, shingle)
             found = np.unique(hashes)
             node = signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            yield key, row, signed(majority(hashes)), node, len(found), min_bands(found) if len(found) else [], found.tobytes()
+            yield row_no, key, row, signed(majority(hashes)), node, len(found), min_bands(found) if len(found) else [], found.view(np.int64)
 
     marked = written(map_rows(
-        docs.select(F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text")), mark,
-        "doc_id long, row_hash long, fp long, node long, size long, bands array<long>, hashes binary", rows=256), "shingle_sets")
+        docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text")), mark,
+        "row_no long, doc_id long, row_hash long, fp long, node long, size long, bands array<long>, hashes array<long>", rows=256), "shingle_sets")
     nodes = written(marked.groupBy("node").agg(
-        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("bands").alias("bands")), "distinct_sets")
+        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("row_no").alias("row_no"), F.min("bands").alias("bands")), "distinct_sets")
+    # Each set once, in a table of its own; only the pairs of candidates read it.
+    sets = written(marked.select("row_no", "node", "hashes").join(nodes.select("row_no"), "row_no", "left_semi").select("node", "hashes"), "sets")
+    marked = marked.select("doc_id", "row_hash", "node")
     # One set of each fingerprint stands for it in the fingerprints' links; the bands hold all sets.
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(of_print, radius)
@@ -317,7 +314,7 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
     members = nodes.select("node", "size", F.explode("bands").alias("shard"))
     crowded = members.groupBy("shard").agg(F.count("node").alias("many")).filter("many > 1")
     members = written(members.join(crowded, "shard"), "band_members")
-    edges = written(confirmed(candidates, marked, similarity), "alike")
+    edges = written(confirmed(candidates, sets, similarity), "alike")
     roots = components(edges)
     met = 8
     while True:
@@ -332,31 +329,26 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
         sizes = F.least("size", "a_size") >= F.lit(similarity) * F.greatest("size", "a_size") - 1e-6
         pairs = rooted.join(asked, "shard").filter((F.col("root") != F.col("a_root")) & sizes).select(
             F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        edges = written(edges.union(confirmed(pairs, marked, similarity)), "alike")
+        edges = written(edges.union(confirmed(pairs, sets, similarity)), "alike")
         roots = components(edges)
         most = rooted.agg(F.max("many")).first()[0] or 0
         if most <= met:
             break
         members, met = rooted.filter(F.col("many") > met).drop("root"), met * 8
-    return marked.select("doc_id", "row_hash", "node").join(roots, "node", "left").select(
+    return marked.join(roots, "node", "left").select(
         "doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
 
 
-def confirmed(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs(a, b)`` of nodes whose whole shingle sets have at least this Jaccard similarity."""
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of nodes whose whole shingle sets have at least this Jaccard similarity.
+
+    The two sets of a pair meet in one row of a join that can spill; common hashes are counted there.
+    """
     pairs = written(pairs.filter("a <> b").distinct(), "candidates")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(marked.select("node", "hashes").join(asked, "node", "left_semi").dropDuplicates(["node"]), "asked_sets")
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("a_set")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("b_set")), "b").select("a", "b", "a_set", "b_set"))
-
-    def check(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for a, b, first, second in rows:
-            if jaccard(np.frombuffer(first, np.uint64), np.frombuffer(second, np.uint64)) >= similarity - 1e-12:
-                yield a, b
-
-    return map_rows(both, check, "a long, b long")
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_set"))
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    alike = common >= F.lit(similarity - 1e-12) * (F.size("a_set") + F.size("b_set") - common)
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(alike).select("a", "b")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
