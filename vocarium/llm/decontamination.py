@@ -28,7 +28,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vocarium.llm.rows import map_rows, texts
-from vocarium.session import written
 
 SIMILARITY = 0.8
 RECALL = 0.98
@@ -359,11 +358,11 @@ def _search(spark: SparkSession, docs: DataFrame, block: list, similarity: float
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` that no item contaminates, with their columns.
 
-    Every row is judged by its own text, under a number written with it; ids may repeat or be null.
+    A row is judged by its text alone and found again by the text's hash; ids may repeat or be null.
     """
-    at = len(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
     place = [name.lower() for name in docs.columns].index("text")
-    numbered = written(docs.toDF(*[f"c{i}" for i in range(at)]).withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    named = numbered.select(F.col("_row").alias("doc_id"), F.col(f"c{place}").alias("text"))
-    found = contaminated(named, benchmark, similarity).select(F.col("doc_id").alias("_row")).distinct()
-    return numbered.join(found, "_row", "left_anti").select(*[f"c{i}" for i in range(at)]).toDF(*docs.columns)
+    rows = docs.toDF(*names).withColumn("_text", F.xxhash64(F.col(names[place]).cast("string")))
+    judged = contaminated(rows.select(F.col("_text").alias("doc_id"), F.col(names[place]).alias("text")), benchmark, similarity)
+    found = judged.select(F.col("doc_id").alias("_text")).distinct()
+    return rows.join(found, "_text", "left_anti").select(*names).toDF(*docs.columns)

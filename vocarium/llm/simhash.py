@@ -262,9 +262,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return grouped(docs, shingle, radius).select("doc_id", "fp", "component_id")
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct shingle hashes in ascending order."""
-    return np.unique(shingle_hashes(text, shingle))
+def node_of(found: np.ndarray) -> int:
+    """Number of a shingle set."""
+    return signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``(node, hashes)``: the distinct shingle hashes of the rows of ``docs`` that ``rows(row_hash)`` names."""
+    def work(texts: Iterator[tuple]) -> Iterable[tuple]:
+        for (text,) in texts:
+            found = np.unique(shingle_hashes(text, shingle))
+            yield node_of(found), found.view(np.int64)
+
+    read = docs.select(row_hash(docs).alias("row_hash"), utf8("text").alias("text")).join(rows, "row_hash", "left_semi").select("text")
+    return map_rows(read, work, "node long, hashes array<long>", rows=256).dropDuplicates(["node"])
 
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
@@ -291,19 +302,15 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
     which grows from round to round until all pairs have met or all members are in one component.
     """
     def mark(rows: Iterator[tuple]) -> Iterable[tuple]:
-        for row_no, key, row, text in rows:
+        for key, row, text in rows:
             hashes = shingle_hashes(text, shingle)
             found = np.unique(hashes)
-            node = signed(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            yield row_no, key, row, signed(majority(hashes)), node, len(found), min_bands(found) if len(found) else [], found.view(np.int64)
+            yield key, row, signed(majority(hashes)), node_of(found), len(found), min_bands(found) if len(found) else []
 
-    marked = written(map_rows(
-        docs.select(F.monotonically_increasing_id(), F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text")), mark,
-        "row_no long, doc_id long, row_hash long, fp long, node long, size long, bands array<long>, hashes array<long>", rows=256), "shingle_sets")
+    read = docs.select(F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text"))
+    marked = written(map_rows(read, mark, "doc_id long, row_hash long, fp long, node long, size long, bands array<long>", rows=256), "shingle_sets")
     nodes = written(marked.groupBy("node").agg(
-        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("row_no").alias("row_no"), F.min("bands").alias("bands")), "distinct_sets")
-    # Each set once, in a table of its own; only the pairs of candidates read it.
-    sets = written(marked.select("row_no", "node", "hashes").join(nodes.select("row_no"), "row_no", "left_semi").select("node", "hashes"), "sets")
+        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("row_hash").alias("row_hash"), F.min("bands").alias("bands")), "distinct_sets")
     marked = marked.select("doc_id", "row_hash", "node")
     # One set of each fingerprint stands for it in the fingerprints' links; the bands hold all sets.
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
@@ -314,6 +321,8 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
     members = nodes.select("node", "size", F.explode("bands").alias("shard"))
     crowded = members.groupBy("shard").agg(F.count("node").alias("many")).filter("many > 1")
     members = written(members.join(crowded, "shard"), "band_members")
+    near = members.select("node").union(candidates.select("a")).union(candidates.select("b")).distinct()
+    sets = written(shingle_sets(docs, nodes.join(near, "node").select("row_hash"), shingle), "sets")
     edges = written(confirmed(candidates, sets, similarity), "alike")
     roots = components(edges)
     met = 8
@@ -345,6 +354,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     The two sets of a pair meet in one row of a join that can spill; common hashes are counted there.
     """
     pairs = written(pairs.filter("a <> b").distinct(), "candidates")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = sets.join(asked, "node", "left_semi")
     of = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     alike = common >= F.lit(similarity - 1e-12) * (F.size("a_set") + F.size("b_set") - common)
