@@ -274,8 +274,8 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE) -> Da
             found = np.unique(shingle_hashes(text, shingle))
             yield node_of(found), found.view(np.int64)
 
-    read = docs.select(row_hash(docs).alias("row_hash"), utf8("text").alias("text")).join(rows, "row_hash", "left_semi").select("text")
-    return map_rows(read, work, "node long, hashes array<long>", rows=256).dropDuplicates(["node"])
+    read = docs.select(row_hash(docs).alias("row_hash"), utf8("text").alias("text")).join(rows, "row_hash", "left_semi").dropDuplicates(["row_hash"]).select("text")
+    return map_rows(read, work, "node long, hashes array<long>", rows=256)
 
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, MIN_BANDS * MIN_ROWS), dtype=np.uint64)
