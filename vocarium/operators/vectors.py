@@ -29,10 +29,10 @@ QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
 PRESCAN = 1 / 64
 
 _FILTERS = ("q_short", "q_4k", "date_lo", "date_hi", "v_id")
-_META = ("video_id", "recorded_date", "is_short", "is_4k")
+META = ("video_id", "recorded_date", "is_short", "is_4k")
 
 
-class _Block(NamedTuple):
+class QueryBlock(NamedTuple):
     """Queries as arrays; -1 stands for a filter that is not set."""
 
     ids: np.ndarray
@@ -44,8 +44,19 @@ class _Block(NamedTuple):
     video: np.ndarray
     floor: np.ndarray
 
+    def some(self, queries: np.ndarray) -> QueryBlock:
+        return QueryBlock(*(column[queries] for column in self))
 
-def _query_block(queries: DataFrame) -> _Block:
+    def allowed(self, query: int, video: np.ndarray, date: np.ndarray, short: np.ndarray, four_k: np.ndarray) -> np.ndarray:
+        """Which vectors pass the filters of a query; their columns in the order of ``META``."""
+        passing = (date >= self.lo[query]) & (date <= self.hi[query])
+        for wanted, column in ((self.short, short), (self.four_k, four_k), (self.video, video)):
+            if wanted[query] >= 0:
+                passing &= column == wanted[query]
+        return passing
+
+
+def query_block(queries: DataFrame) -> QueryBlock:
     """Collect one block; its rows are bounded by ``query_batches``."""
     optional = [F.coalesce(F.col(c).cast("bigint"), F.lit(-1)).alias(c) for c in ("q_short", "q_4k", "v_id")]
     rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"), "date_lo",
@@ -54,7 +65,7 @@ def _query_block(queries: DataFrame) -> _Block:
     if len(rows):
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     column = lambda name: np.array([r[name] for r in rows], dtype=np.int64)
-    return _Block(column("query_id"), unit, column("q_short"), column("q_4k"), column("date_lo"),
+    return QueryBlock(column("query_id"), unit, column("q_short"), column("q_4k"), column("date_lo"),
                   column("date_hi"), column("v_id"), np.full(len(rows), -np.inf))
 
 
@@ -64,16 +75,16 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 #: Scores of every query of a block against every vector of a batch.
-Scorer = Callable[[_Block, np.ndarray], np.ndarray]
+Scorer = Callable[[QueryBlock, np.ndarray], np.ndarray]
 
 
-def cosine_scores(block: _Block, vectors: np.ndarray) -> np.ndarray:
+def cosine_scores(block: QueryBlock, vectors: np.ndarray) -> np.ndarray:
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     # Compared at nine decimals: the last bits of a matrix product depend on its shape.
     return np.round(block.unit @ unit.T, 9)
 
 
-def sign_scores(block: _Block, vectors: np.ndarray) -> np.ndarray:
+def sign_scores(block: QueryBlock, vectors: np.ndarray) -> np.ndarray:
     """Minus the Hamming distance of one-bit codes."""
     left, right = np.packbits(block.unit > 0, axis=1), np.packbits(vectors > 0, axis=1)
     distance = np.zeros((len(left), len(right)), dtype=np.float64)
@@ -82,7 +93,7 @@ def sign_scores(block: _Block, vectors: np.ndarray) -> np.ndarray:
     return -distance
 
 
-def _scan(block: _Block, k: int, scorer: Scorer):
+def _scan(block: QueryBlock, k: int, scorer: Scorer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(block.ids):
             return
@@ -92,16 +103,9 @@ def _scan(block: _Block, k: int, scorer: Scorer):
                 batch = whole.slice(start, VECTOR_BLOCK)
                 scores = scorer(block, _matrix(batch, "embedding").astype(np.float64))
                 ids = batch.column("chunk_id").to_numpy()
-                video, date, short, four_k = (
-                    batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in _META)
+                meta = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in META]
                 for q in range(len(block.ids)):
-                    allowed = (date >= block.lo[q]) & (date <= block.hi[q]) & (scores[q] >= block.floor[q])
-                    if block.short[q] >= 0:
-                        allowed &= short == block.short[q]
-                    if block.four_k[q] >= 0:
-                        allowed &= four_k == block.four_k[q]
-                    if block.video[q] >= 0:
-                        allowed &= video == block.video[q]
+                    allowed = block.allowed(q, *meta) & (scores[q] >= block.floor[q])
                     best.add(q, ids[allowed], scores[q][allowed])
         yield best.batch(block.ids)
 
@@ -114,18 +118,18 @@ def usable_vectors(points: DataFrame, dimension: int) -> DataFrame:
 
 
 def _scan_all(queries: DataFrame, points: DataFrame, k: int, dimension: int, scorer: Scorer) -> DataFrame:
-    vectors = usable_vectors(points, dimension).select("chunk_id", "embedding", *_META)
+    vectors = usable_vectors(points, dimension).select("chunk_id", "embedding", *META)
     order = [F.desc("score"), F.asc("chunk_id")]
     parts = None
     for batch in query_batches(usable_vectors(queries, dimension), QUERY_BLOCK):
-        block = _query_block(batch)
+        block = query_block(batch)
         block = block._replace(floor=_floors(block, vectors.sample(PRESCAN, seed=1), k, scorer))
         best = top_k_spread(vectors.mapInArrow(_scan(block, k, scorer), HITS), ["query_id"], order, k)
         parts = best if parts is None else parts.unionByName(best)
     return parts
 
 
-def _floors(block: _Block, sample: DataFrame, k: int, scorer: Scorer) -> np.ndarray:
+def _floors(block: QueryBlock, sample: DataFrame, k: int, scorer: Scorer) -> np.ndarray:
     """Score a vector must reach: that of the k-th best of a sample, per query.
 
     The k-th best of a part is never above the k-th best of the whole, so nothing that belongs

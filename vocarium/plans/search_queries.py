@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vocarium.functions import identity, text as tx
-from vocarium.operators import chunking, filters, fusion, lexical, points as point_ops, ranking, search, vectors
+from vocarium.operators import chunking, filters, fusion, ivf, lexical, points as point_ops, ranking, search, vectors
 from vocarium.plans.registry import query
-from vocarium.plans.views import DUCK, root_sql, tokens_sql
+from vocarium.plans.views import DUCK, SPARK, root_sql, tokens_sql
 
 DIMENSION, LIMIT = 64, 20
 
@@ -219,6 +219,8 @@ def bare_points(v):
                                      "is_short": F.lit(False), "is_4k": F.lit(False)})
 
 
+SPARK["vector_lists"] = lambda v: ivf.build_lists(bare_points(v), DIMENSION)
+
 DUCK["sign_hits"] = f"""
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
 FROM (SELECT q.query_id, p.chunk_id, {_COSINE} AS score,
@@ -267,6 +269,22 @@ def knn_recall(v):
     return vectors.recall(exact, rough).select("query_id", F.round("recall", 6).alias("recall"))
 
 
+@query("ivf_recall", """
+SELECT (SELECT count(*) FROM {vectors}) AS stored, (SELECT count(*) FROM {queries}) AS asked, TRUE AS reached""")
+def ivf_recall(v):
+    """Every vector is in a list, and the probed lists hold at least nine of ten true neighbours."""
+    lists = v["vector_lists"]
+    found = vectors.recall(vectors.knn_search(open_queries(v), bare_points(v), 10, DIMENSION), ivf.knn_ivf(open_queries(v), lists, 10, DIMENSION))
+    stored = lists.vectors.agg(F.count("*").alias("stored"))
+    return found.agg(F.count("*").alias("asked"), (F.avg("recall") >= 0.9).alias("reached")).crossJoin(stored).select("stored", "asked", "reached")
+
+
+@query("knn_ivf")
+def knn_ivf(v):
+    return ivf.knn_ivf(open_queries(v), v["vector_lists"], 10, DIMENSION).select(
+        "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("rrf_rank", "SELECT query_id, chunk_id, rank FROM {lexical_hits} WHERE rank <= 100")
 def rrf_rank(v):
     scored = lexical.bm25_search(v["routed"].filter(_LEXICAL), v["search_index"], 200).drop("rank")
