@@ -79,4 +79,4 @@ def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_chat_transcripts, op3_token_files, op4_toxicity, op5_main_text, op6_mix_sources, op7_licence_scan,
                                   op8_language_model, op9_simhash_groups, op10_rule_ledger, op11_url_rules, op12_token_alignment, op13_centroids)}
 
-ORACLES: dict[str, str] = {"op11_url_rules": url_rules.oracle(url_rules.SITES + url_rules.WORDS), "op13_centroids": centroids.oracle()}
+ORACLES: dict[str, str] = {"op10_rule_ledger": rules.oracle(), "op11_url_rules": url_rules.oracle(url_rules.SITES + url_rules.WORDS), "op13_centroids": centroids.oracle()}

@@ -133,3 +133,24 @@ def ablations(book: DataFrame, version: int = LATEST, policies: dict[int, tuple[
     return per_rule.groupBy(F.col("r.rule").alias("rule")).agg(
         count(own != 0).alias("fails"), count(F.col("bits") == F.col("r.bit")).alias("sole"),
         count(F.col("bits").bitwiseAND(F.bitwise_not(F.col("r.bit"))) == 0).alias("kept_without"), total.alias("docs"))
+
+
+def oracle(version: int = LATEST) -> str:
+    """The registered query in DuckDB: measures by lists of words, then the rules as they stand."""
+    bits = " + ".join(f"CASE WHEN {rule.fails} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(RULES))
+    return f"""
+WITH read AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT n, doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w,
+                 list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM read),
+placed AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM words),
+windows AS (SELECT n, place, count(*) OVER (PARTITION BY n, word, w2, w3) AS times FROM (
+  SELECT n, place, word, lead(word) OVER p AS w2, lead(word, 2) OVER p AS w3 FROM placed WINDOW p AS (PARTITION BY n ORDER BY place)) WHERE w3 IS NOT NULL),
+repeated AS (SELECT n, count(DISTINCT place + i)::BIGINT AS n_repeat_words FROM windows, (SELECT unnest(range({WINDOW})) AS i) WHERE times > 1 GROUP BY n),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM words LEFT JOIN repeated USING (n)),
+book AS (SELECT *, ({bits})::BIGINT AS fail_bits FROM measured)
+SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (fail_bits & {mask_of(POLICIES[1])}) <> 0 AS base_failed, (fail_bits & {mask_of(POLICIES[version])}) = 0 AS kept, fail_bits FROM book"""
