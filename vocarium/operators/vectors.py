@@ -218,9 +218,6 @@ Embedder = Callable[[list[str]], list[list[float]]]
 
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """Offline default embedding: word counts hashed into ``dimension`` slots, unit length."""
-    slots = F.transform(tx.tokens(text), lambda w: F.pmod(
-        F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint"), F.lit(dimension)).cast("int"))
-
     def count(found: Column) -> Column:
         # Removing a slot and comparing sizes counts it in a plain loop, without a lambda per word.
         return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)),
@@ -230,7 +227,29 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
         return bind(F.sqrt(squared_norm(counts)), lambda norm: F.transform(
             counts, lambda x: F.when(norm > 0, x / norm).otherwise(x).cast("float")))
 
-    return bind(slots, lambda found: bind(count(found), unit))
+    return bind(word_slots(text, dimension), lambda found: bind(count(found), unit))
+
+
+def word_slots(text: Column, dimension: int) -> Column:
+    """Slot of every word of a text."""
+    return F.transform(tx.tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint"), F.lit(dimension)).cast("int"))
+
+
+def _counted(dimension: int):
+    """Unit vectors from ``(chunk_id, slots)``: all words of a batch are counted in one pass."""
+    schema = pa.schema([("chunk_id", pa.int64()), ("embedding", pa.list_(pa.float32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, n = batch.column(1), batch.num_rows
+            row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+            counts = np.bincount(row * dimension + lists.flatten().to_numpy(), minlength=n * dimension).reshape(n, dimension).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+            unit = (counts / np.where(norm > 0, norm, 1)).astype(np.float32)
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dimension, pa.int32()), pa.array(unit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], schema=schema)
+
+    return run
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, dimension: int = 64,
@@ -238,11 +257,13 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder | None = None, dimension:
     """``(chunk_id, embedding)`` of every chunk with text.
 
     An ``embedder`` is called with batches of at most ``batch_size`` texts; a wrong number or
-    length of vectors is an error. Without one the hashed embedding runs inside the JVM.
+    length of vectors is an error. Without one the vectors are those of ``hashed_embedding``.
     """
     spoken = chunks.filter(~tx.is_blank(F.col("text")))
     if embedder is None:
-        return spoken.select("chunk_id", hashed_embedding(F.col("text"), dimension).alias("embedding"))
+        slots = F.coalesce(word_slots(F.col("text"), dimension), F.array().cast("array<int>")).alias("slots")
+        read = spoken.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), slots)
+        return read.mapInArrow(_counted(dimension), "chunk_id BIGINT, embedding ARRAY<FLOAT>")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -282,17 +303,6 @@ def embedding_memo(texts: DataFrame, memo: DataFrame, task: str, model: str = ""
     return keyed.join(known, "key").drop("key"), fresh
 
 
-def sparse_dot(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Dot products of sparse vectors ``(id, indices, values)``: query rows against stored rows."""
-    def entries(df: DataFrame, name: str, value: str) -> DataFrame:
-        pairs = F.explode(F.arrays_zip("indices", "values")).alias("e")
-        return df.select(F.col("id").alias(name), pairs).select(
-            name, F.col("e.indices").alias("slot"), F.col("e.values").alias(value))
-
-    return entries(left, "query_id", "a").join(entries(right, "chunk_id", "b"), "slot").groupBy(
-        "query_id", "chunk_id").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
-
-
 def vector_issues(points: DataFrame, dimension: int) -> DataFrame:
     """Vectors of a wrong length or of no length."""
     size = F.coalesce(F.when(F.col("embedding").isNotNull(), F.size("embedding")), F.lit(0))
