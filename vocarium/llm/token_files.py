@@ -53,32 +53,49 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in '.,;:!?|#$%&*()[]{}<>"/+=@~^_-']] = True
 
 
-def pieces(text: bytes) -> list[bytes]:
-    """Cut a text where the byte-level pre-tokenizer cuts as well.
+def cuts(a: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokenizer cuts a text as well: one mark before each byte and one at the end.
 
     Cuts are made only before a space that a letter follows, between a letter and a plain sign, and
     around a single line break between visible characters. Everything else stays in one piece, so
     encoding the pieces one by one gives the ids of the whole text.
     """
-    if len(text) < 4:
-        return [text] if text else []
-    a = np.frombuffer(text, np.uint8)
+    cut = np.zeros(len(a) + 1, bool)
+    cut[0] = cut[-1] = True
+    if len(a) < 4:
+        return cut
     latin = (a[:-1] == 0xC3) & (a[1:] >= 0x80) & (a[1:] != 0x97) & (a[1:] != 0xB7)
     letter = _LETTER[a]
+    begins = letter.copy()
     letter[1:] |= latin
-    begins = _LETTER[a]
     begins[:-1] |= latin
-    cut = np.zeros(len(a) + 1, bool)
-    cut[0] = cut[-1] = True
+    sign = _SIGN[a]
     cut[:-2] |= (a[:-1] == 32) & begins[1:]
-    cut[1:-1] |= letter[:-1] & _SIGN[a[1:]]
-    line = (a[1:-1] == 10) & (letter[:-2] | _SIGN[a[:-2]]) & begins[2:]
+    cut[1:-1] |= letter[:-1] & sign[1:]
+    line = (a[1:-1] == 10) & (letter[:-2] | sign[:-2]) & begins[2:]
     cut[1:-2] |= line
     cut[2:-1] |= line
-    at = np.flatnonzero(cut).tolist()
+    return cut
+
+
+def pieces(text: bytes) -> list[bytes]:
+    """The pieces of a text between its ``cuts``."""
+    if not text:
+        return []
+    at = np.flatnonzero(cuts(np.frombuffer(text, np.uint8))).tolist()
     return [text[i:j] for i, j in zip(at, at[1:])]
 
 
+#: Bytes of a piece that is known by a number; and the masks that leave so many bytes of eight.
+SHORT = 8
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(SHORT + 1)], np.uint64)
+
+
+def short_key(piece: bytes) -> int | bytes:
+    """The piece as a number, if it is short and holds no zero byte, otherwise the piece itself."""
+    return int.from_bytes(piece, "little") if len(piece) <= SHORT and 0 not in piece else piece
+
+
 class Encoder:
     """Ids of texts through a tokenizer file, remembering the ids of pieces seen before."""
 
@@ -96,7 +113,7 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[int | bytes, int] = {}
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
@@ -115,28 +132,51 @@ class Encoder:
         alone = [np.array(self._ids(piece.decode()), np.uint32) for piece in odd]
         lengths = np.fromiter(map(len, alone), np.int64, len(alone))
         base = len(self.known)
-        self.known.update(zip([*simple, *odd], range(base, base + len(simple) + len(odd))))
+        self.known.update(zip(map(short_key, [*simple, *odd]), range(base, base + len(simple) + len(odd))))
         self.begin = np.concatenate([self.begin, self.begin[-1] + ends, self.begin[-1] + len(ids) + np.cumsum(lengths)])
         self.pool = np.concatenate([self.pool, ids, *alone])
 
     def encode(self, documents: Sequence[bytes]) -> list[np.ndarray]:
-        """Ids of each document, as unsigned 32-bit integers."""
-        parts = [pieces(d) for d in documents]
+        """Ids of each document, as unsigned 32-bit integers.
+
+        The documents are cut as one text, parted by zero bytes, which no cut depends on. Short pieces
+        are numbers and looked up once for each distinct one.
+        """
         if len(self.known) > self.remembered:
             self.forget()
-        new = set().union(*parts).difference(self.known)
+        joined = b"\0".join(documents) + bytes(SHORT)
+        whole = np.frombuffer(joined, np.uint8)[:-SHORT]
+        sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+        last = np.cumsum(sizes + 1) - 1
+        cut = cuts(whole)
+        cut[last] = cut[last - sizes] = True
+        at = np.flatnonzero(cut)
+        own = np.ones(len(at) - 1, bool)
+        own[np.searchsorted(at, last[:-1])] = False  # the zero bytes between documents
+        begin, length = at[:-1][own], np.diff(at)[own]
+        short = length <= SHORT
+        if np.count_nonzero(whole == 0) >= len(documents):  # zero bytes inside a text
+            zeros = np.append(0, np.cumsum(whole == 0))
+            short &= zeros[begin + length] == zeros[begin]
+        eight = np.ndarray((len(joined) - SHORT + 1,), "<u8", buffer=joined, strides=(1,))
+        keys, place = np.unique(eight[begin[short]] & _MASKS[length[short]], return_inverse=True)
+        listed = keys.tolist()
+        long = [joined[i:i + n] for i, n in zip(begin[~short].tolist(), length[~short].tolist())]
+        new = [k.to_bytes(SHORT, "little").rstrip(b"\0") for k in listed if k not in self.known]
+        new.extend(set(long).difference(self.known))
         if new:
-            self._learn(list(new))
-        out = []
+            self._learn(new)
         get = self.known.__getitem__
-        for own in parts:
-            codes = np.fromiter(map(get, own), np.int64, len(own))
-            begin = self.begin[codes]
-            many = self.begin[codes + 1] - begin
-            ends = np.cumsum(many)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.pool[np.arange(total) + np.repeat(begin - ends + many, many)])
-        return out
+        codes = np.empty(len(begin), np.int64)
+        codes[short] = np.fromiter(map(get, listed), np.int64, len(listed))[place]
+        codes[~short] = np.fromiter(map(get, long), np.int64, len(long))
+        first = self.begin[codes]
+        many = self.begin[codes + 1] - first
+        ends = np.append(0, np.cumsum(many))
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(first - ends[:-1], many)]
+        # Ids before the first piece of each document, and before the end of the last one.
+        edges = ends[np.append(np.searchsorted(begin, last - sizes), len(begin))]
+        return [ids[i:j] for i, j in zip(edges, edges[1:])]
 
 
 def encoder(path: str) -> Encoder:
