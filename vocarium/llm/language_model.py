@@ -153,91 +153,119 @@ class Network:
         ``fresh`` marks the steps at which a lane begins a new document, whose state is zero.
         """
         h, p = self.hidden, self.p
-        steps = len(inputs)
-        states = np.empty((steps, *state.shape), np.float32)
-        kept = []
+        steps, lanes = inputs.shape
+        states = np.empty((steps, lanes, h), np.float32)
+        gates = np.empty((steps if keep else 1, lanes, 2 * h), np.float32)
+        news = np.empty((steps if keep else 1, lanes, h), np.float32)
+        begins = fresh.any(axis=1).tolist()
         for t in range(steps):
-            if fresh[t].any():
+            if begins[t]:
                 state = state * ~fresh[t][:, None]
             states[t] = state
             own = p["embed"][inputs[t]]
-            gates = own[:, :2 * h] + state @ p["gate"]
-            np.clip(gates, -30, 30, out=gates)
-            gates = 1 / (1 + np.exp(-gates))
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(own[:, 2 * h:] + (r * state) @ p["new"])
-            if keep:
-                kept.append((z, r, new))
-            state = state + z * (new - state)
-        return states, state, kept
+            gate, new = gates[t if keep else 0], news[t if keep else 0]
+            # The logistic function by the hyperbolic tangent, which cannot overflow.
+            np.matmul(state, p["gate"], out=gate)
+            gate += own[:, :2 * h]
+            gate *= 0.5
+            np.tanh(gate, out=gate)
+            gate += 1
+            gate *= 0.5
+            np.matmul(gate[:, h:] * state, p["new"], out=new)
+            new += own[:, 2 * h:]
+            np.tanh(new, out=new)
+            state = state + gate[:, :h] * (new - state)
+        return states, state, (gates, news)
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, gradient: bool = False):
-        """Natural log probability of each target from the state before it; with gradients if asked."""
-        p, n = self.p, len(targets)
-        wide = np.concatenate([states, np.ones((n, 1), np.float32)], axis=1)
-        kind, place = targets % self.classes, targets // self.classes
-        scores = wide @ p["classes"]
-        scores -= scores.max(axis=1, keepdims=True)
-        e = np.exp(scores)
-        total = e.sum(axis=1)
-        out = scores[np.arange(n), kind] - np.log(total)
-        back = grads = None
+        """Natural log probability of each target from the state before it; with gradients if asked.
+
+        Tokens are laid out by class, one column each, so that the sums run along the columns.
+        """
+        p, n, h = self.p, len(targets), self.hidden
+        order = np.argsort((targets % self.classes).astype(np.uint16), kind="stable")
+        kind, place = np.divmod(targets[order], self.classes)[::-1]
+        wide = np.ones((h + 1, n), np.float32)
+        wide[:h] = states[order].T
+        at = np.arange(n)
+
+        def softmax(scores: np.ndarray, chosen: np.ndarray, across: np.ndarray):
+            scores -= scores.max(axis=0)
+            own = scores[chosen, across]
+            np.exp(scores, out=scores)
+            total = scores.sum(axis=0)
+            own -= np.log(total)
+            if gradient:
+                scores /= total
+                scores[chosen, across] -= 1
+            return own, scores
+
+        out, e = softmax(p["classes"].T @ wide, kind, at)
+        grads = back = None
         if gradient:
-            e /= total[:, None]
-            e[np.arange(n), kind] -= 1
-            grads = {"classes": wide.T @ e, "words": np.zeros_like(p["words"])}
-            back = e @ p["classes"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            rows = order[edges[c]:edges[c + 1]]
-            own = wide[rows]
-            scores = own @ p["words"][c] + self.unused[c]
-            scores -= scores.max(axis=1, keepdims=True)
-            e = np.exp(scores)
-            total = e.sum(axis=1)
-            at = np.arange(len(rows))
-            out[rows] += scores[at, place[rows]] - np.log(total)
+            grads = {"classes": wide @ e.T, "words": np.zeros_like(p["words"])}
+            back = p["classes"][:h] @ e
+        edges = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+        for c, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a == b:
+                continue
+            scores = p["words"][c].T @ wide[:, a:b]
+            scores += self.unused[c][:, None]
+            own, e = softmax(scores, place[a:b], at[:b - a])
+            out[a:b] += own
             if gradient:
-                e /= total[:, None]
-                e[at, place[rows]] -= 1
-                grads["words"][c] = own.T @ e
-                back[rows] += e @ p["words"][c].T
-        return out, grads, back
+                grads["words"][c] = wide[:, a:b] @ e.T
+                back[:, a:b] += p["words"][c, :h] @ e
+        result = np.empty_like(out)
+        result[order] = out
+        if gradient:
+            straight = np.empty((n, h), np.float32)
+            straight[order] = back.T
+            back = straight
+        return result, grads, back
 
     def gradients(self, inputs, fresh, targets, live, state):
         """Gradients of the mean loss of a window, truncated at its start; also the state after it."""
         h, p = self.hidden, self.p
-        states, after, kept = self.read(inputs, fresh, state, keep=True)
+        states, after, (gates, news) = self.read(inputs, fresh, state, keep=True)
         steps, lanes = inputs.shape
         mask = live.ravel()
         _, out, back = self.log_probabilities(states.reshape(-1, h)[mask], targets.ravel()[mask], gradient=True)
         count = max(1, int(mask.sum()))
         into = np.zeros((steps * lanes, h), np.float32)
-        into[mask] = back[:, :h]
+        into[mask] = back
         into = into.reshape(steps, lanes, h)
-        grads = {"classes": out["classes"], "words": out["words"], "embed": np.zeros_like(p["embed"]),
-                 "gate": np.zeros_like(p["gate"]), "new": np.zeros_like(p["new"])}
+        z, r = gates[:, :, :h], gates[:, :, h:]
+        # What the gradient of the state after a step is multiplied by on its way to each gate.
+        to_new = z * (1 - news * news)
+        to_update = (news - states) * z * (1 - z)
+        to_reset = states * r * (1 - r)
+        stay = 1 - z
+        from_new, from_gates = np.ascontiguousarray(p["new"].T), np.ascontiguousarray(p["gate"].T)
         flow = np.zeros_like(state)
         entering = np.empty((steps, lanes, 3 * h), np.float32)
+        begins = fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            z, r, new = kept[t]
-            s = states[t]
-            dnew = flow * z * (1 - new * new)
-            dz = flow * (new - s) * z * (1 - z)
-            dreset = dnew @ p["new"].T
-            dr = dreset * s * r * (1 - r)
-            gates = np.concatenate([dz, dr], axis=1)
-            grads["new"] += (r * s).T @ dnew
-            grads["gate"] += s.T @ gates
-            entering[t, :, :2 * h] = gates
-            entering[t, :, 2 * h:] = dnew
-            flow = flow * (1 - z) + dreset * r + gates @ p["gate"].T + into[t]
-            flow *= ~fresh[t][:, None]
-        order = np.argsort(inputs, axis=None, kind="stable")
+            dnew = flow * to_new[t]
+            dreset = dnew @ from_new
+            own = entering[t]
+            np.multiply(flow, to_update[t], out=own[:, :h])
+            np.multiply(dreset, to_reset[t], out=own[:, h:2 * h])
+            own[:, 2 * h:] = dnew
+            flow *= stay[t]
+            dreset *= r[t]
+            flow += dreset
+            flow += own[:, :2 * h] @ from_gates
+            flow += into[t]
+            if begins[t]:
+                flow *= ~fresh[t][:, None]
+        flat = entering.reshape(-1, 3 * h)
+        grads = {"classes": out["classes"], "words": out["words"], "embed": np.zeros_like(p["embed"]),
+                 "gate": states.reshape(-1, h).T @ flat[:, :2 * h], "new": (r * states).reshape(-1, h).T @ flat[:, 2 * h:]}
+        order = np.argsort(inputs.astype(np.uint16 if self.tokens <= 1 << 16 else np.int64), axis=None, kind="stable")
         tokens = inputs.ravel()[order]
         first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        grads["embed"][tokens[first]] = np.add.reduceat(entering.reshape(-1, 3 * h)[order], first, axis=0)
+        grads["embed"][tokens[first]] = np.add.reduceat(flat[order], first, axis=0)
         return {k: g / count for k, g in grads.items()}, after
 
 
