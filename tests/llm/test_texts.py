@@ -237,6 +237,26 @@ def test_main_text_of_the_table(spark):
 # --- licences ---
 
 
+def test_short_pieces_with_zero_bytes():
+    encoder = token_files.Encoder(TOKENIZER)
+    docs = ["", "a", "a\0", "\0\0", "the\0 the", "word\nword", "", " abcdefgh abcdefghi", "\0"]
+    whole = [encoder.tokenizer.encode(d, add_special_tokens=False).ids for d in docs]
+    for _ in range(2):  # learned, then known
+        assert [ids.tolist() for ids in encoder.encode([d.encode() for d in docs])] == whole
+    assert [ids.tolist() for ids in encoder.encode([b""])] == [[]] and encoder.encode([]) == []
+
+
+def test_fewer_strong_words_confirm_no_template():
+    strong, least = set(licences.strong_words()), licences.least_strong()
+    for text in (text for texts in licences.TEMPLATES.values() for text in texts):
+        listed = licences.template_words(text)
+        wanted = {(w,) for w in listed} | set(zip(listed, listed[1:]))
+        for kept in strong.intersection(listed):
+            held = [run for run in wanted if strong.intersection(run) <= {kept}]
+            assert least == 2 and len(held) < licences.CONFIRMED * len(wanted)
+
+
+
 def test_licence_scan(spark, none):
     lines = {"mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.",
              "cc-by-nc": "Licensed under CC BY-NC 4.0.", None: "The committee met on a rainy day and went home."}
