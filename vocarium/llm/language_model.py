@@ -40,6 +40,8 @@ FOLDS, HELD_OUT = 7, 2
 #: Words whose counts every task has at hand; the others are rare and meet by a join.
 COMMON_WORDS = 120_000
 SEED = 11
+#: Scores up to this size, of either sign, have an exponential in single precision.
+SAFE = 80.0
 #: Rounds of training; every training document is used in one of them.
 ROUNDS = 2
 #: Tasks that add up the parameters of all others.
@@ -111,29 +113,31 @@ def corpus(counts: DataFrame) -> Corpus:
 class Network:
     """Gated recurrent units with a class-factored output, in single precision.
 
-    Token 0 is the end, 1 any word outside the vocabulary. Token ``t`` is in class ``t % CLASSES`` at
-    place ``t // CLASSES``, so frequent words, which have small numbers, are spread over the classes.
+    Token 0 is the end, 1 any word outside the vocabulary. Token 1, which is about every other one, is a
+    class of its own, the last. The others, numbered without it, are spread over ``CLASSES`` classes in
+    turn, so that frequent words, which have small numbers, lie in different ones.
     """
 
     def __init__(self, tokens: int, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = SEED):
         self.tokens, self.hidden = tokens, hidden
-        self.classes = max(1, min(classes, tokens))
-        self.places = -(-tokens // self.classes)
+        self.classes = max(1, min(classes, tokens - 1))
+        self.places = -(-(tokens - 1) // self.classes)
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(0, 1 / np.sqrt(hidden), shape).astype(np.float32)
         # Gates in the order update, reset, new; the embedding is already multiplied by the input weights.
         self.p = {"embed": draw(tokens, 3 * hidden) * 0.3, "gate": draw(hidden, 2 * hidden), "new": draw(hidden, hidden),
-                  "classes": draw(hidden + 1, self.classes) * 0.1,
+                  "classes": draw(hidden + 1, self.classes + 1) * 0.1,
                   "words": draw(self.classes, hidden + 1, self.places) * 0.1}
-        real = np.arange(self.classes)[:, None] + self.classes * np.arange(self.places)[None] < tokens
+        real = np.arange(self.classes)[:, None] + self.classes * np.arange(self.places)[None] < tokens - 1
         self.unused = np.where(real, 0.0, -1e9).astype(np.float32)
 
     def start_from(self, counts: np.ndarray) -> None:
         """Output biases of the unigram model."""
         full = np.ones(self.classes * self.places)
-        full[:self.tokens] = counts + 1.0
+        full[:self.tokens - 1] = np.delete(counts, 1) + 1.0
         table = np.where(self.unused == 0, full.reshape(self.places, self.classes).T, 1e-9)
-        self.p["classes"][-1] = np.log(table.sum(axis=1) / table.sum())
+        sums = np.append(table.sum(axis=1), counts[1] + 1.0)
+        self.p["classes"][-1] = np.log(sums / sums.sum())
         self.p["words"][:, -1] = np.log(table / table.sum(axis=1, keepdims=True))
 
     def flat(self) -> np.ndarray:
@@ -150,32 +154,39 @@ class Network:
     def read(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool = False):
         """States before each token of a window (steps x lanes), the state after it, and what training needs.
 
-        ``fresh`` marks the steps at which a lane begins a new document, whose state is zero.
+        ``fresh`` marks the steps at which a lane begins a new document, whose state is zero. Inside, a
+        lane is a column, so that every pass runs along the lanes; the results are views with lanes first.
         """
         h, p = self.hidden, self.p
         steps, lanes = inputs.shape
-        states = np.empty((steps, lanes, h), np.float32)
-        gates = np.empty((steps if keep else 1, lanes, 2 * h), np.float32)
-        news = np.empty((steps if keep else 1, lanes, h), np.float32)
+        states = np.empty((steps, h, lanes), np.float32)
+        gates = np.empty((steps if keep else 1, 2 * h, lanes), np.float32)
+        news = np.empty((steps if keep else 1, h, lanes), np.float32)
         begins = fresh.any(axis=1).tolist()
+        # The logistic function by the hyperbolic tangent of half its argument, which cannot overflow.
+        by_gate, by_new = p["gate"].T * np.float32(0.5), np.ascontiguousarray(p["new"].T)
+        embed = np.ascontiguousarray(p["embed"].T)
+        embed[:2 * h] *= 0.5
+        state = np.ascontiguousarray(state.T)
         for t in range(steps):
             if begins[t]:
-                state = state * ~fresh[t][:, None]
+                state = state * ~fresh[t]
             states[t] = state
-            own = p["embed"][inputs[t]]
+            own = embed.take(inputs[t], axis=1)
             gate, new = gates[t if keep else 0], news[t if keep else 0]
-            # The logistic function by the hyperbolic tangent, which cannot overflow.
-            np.matmul(state, p["gate"], out=gate)
-            gate += own[:, :2 * h]
-            gate *= 0.5
+            np.matmul(by_gate, state, out=gate)
+            gate += own[:2 * h]
             np.tanh(gate, out=gate)
             gate += 1
             gate *= 0.5
-            np.matmul(gate[:, h:] * state, p["new"], out=new)
-            new += own[:, 2 * h:]
+            np.matmul(by_new, gate[h:] * state, out=new)
+            new += own[2 * h:]
             np.tanh(new, out=new)
-            state = state + gate[:, :h] * (new - state)
-        return states, state, (gates, news)
+            own = new - state
+            own *= gate[:h]
+            own += state
+            state = own
+        return states.transpose(0, 2, 1), state.T, (gates, news)
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray, gradient: bool = False):
         """Natural log probability of each target from the state before it; with gradients if asked.
@@ -183,14 +194,23 @@ class Network:
         Tokens are laid out by class, one column each, so that the sums run along the columns.
         """
         p, n, h = self.p, len(targets), self.hidden
-        order = np.argsort((targets % self.classes).astype(np.uint16), kind="stable")
-        kind, place = np.divmod(targets[order], self.classes)[::-1]
+        place, kind = np.divmod(targets - (targets > 0), self.classes)
+        kind[targets == 1] = self.classes
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
+        kind, place = kind[order], place[order]
         wide = np.ones((h + 1, n), np.float32)
-        wide[:h] = states[order].T
+        wide[:h] = states.T.take(order, axis=1)
         at = np.arange(n)
+        # Places without a token get no weight. Scores within SAFE need no shift before the exponential.
+        words = p["words"].copy()
+        words[:, -1] += self.unused
+        reach = max(1.0, float(wide.max(initial=0)), -float(wide.min(initial=0)))
+        most = np.abs(np.where(self.unused[:, None] == 0, p["words"], 0)).sum(axis=1).max()
+        shift = reach * max(most, np.abs(p["classes"]).sum(axis=0).max()) > SAFE
 
         def softmax(scores: np.ndarray, chosen: np.ndarray, across: np.ndarray):
-            scores -= scores.max(axis=0)
+            if shift:
+                scores -= scores.max(axis=0)
             own = scores[chosen, across]
             np.exp(scores, out=scores)
             total = scores.sum(axis=0)
@@ -209,9 +229,7 @@ class Network:
         for c, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b:
                 continue
-            scores = p["words"][c].T @ wide[:, a:b]
-            scores += self.unused[c][:, None]
-            own, e = softmax(scores, place[a:b], at[:b - a])
+            own, e = softmax(words[c].T @ wide[:, a:b], place[a:b], at[:b - a])
             out[a:b] += own
             if gradient:
                 grads["words"][c] = wide[:, a:b] @ e.T
@@ -219,56 +237,67 @@ class Network:
         result = np.empty_like(out)
         result[order] = out
         if gradient:
-            straight = np.empty((n, h), np.float32)
-            straight[order] = back.T
-            back = straight
+            straight = np.empty((h, n), np.float32)
+            straight[:, order] = back
+            back = straight.T
         return result, grads, back
 
     def gradients(self, inputs, fresh, targets, live, state):
         """Gradients of the mean loss of a window, truncated at its start; also the state after it."""
         h, p = self.hidden, self.p
-        states, after, (gates, news) = self.read(inputs, fresh, state, keep=True)
+        lanes_first, after, (gates, news) = self.read(inputs, fresh, state, keep=True)
+        states = lanes_first.transpose(0, 2, 1)
         steps, lanes = inputs.shape
         mask = live.ravel()
-        _, out, back = self.log_probabilities(states.reshape(-1, h)[mask], targets.ravel()[mask], gradient=True)
+        columns = across(lanes_first)
+        if mask.all():
+            _, out, back = self.log_probabilities(columns.T, targets.ravel(), gradient=True)
+            into = back.T
+        else:
+            _, out, back = self.log_probabilities(columns[:, mask].T, targets.ravel()[mask], gradient=True)
+            into = np.zeros((h, steps * lanes), np.float32)
+            into[:, mask] = back.T
         count = max(1, int(mask.sum()))
-        into = np.zeros((steps * lanes, h), np.float32)
-        into[mask] = back
-        into = into.reshape(steps, lanes, h)
-        z, r = gates[:, :, :h], gates[:, :, h:]
+        into = into.reshape(h, steps, lanes)
+        z, r = gates[:, :h], gates[:, h:]
         # What the gradient of the state after a step is multiplied by on its way to each gate.
         to_new = z * (1 - news * news)
         to_update = (news - states) * z * (1 - z)
-        to_reset = states * r * (1 - r)
+        reset = states * r
+        to_reset = reset * (1 - r)
         stay = 1 - z
-        from_new, from_gates = np.ascontiguousarray(p["new"].T), np.ascontiguousarray(p["gate"].T)
-        flow = np.zeros_like(state)
-        entering = np.empty((steps, lanes, 3 * h), np.float32)
+        flow = np.zeros((h, lanes), np.float32)
+        entering = np.empty((steps, 3 * h, lanes), np.float32)
         begins = fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            dnew = flow * to_new[t]
-            dreset = dnew @ from_new
             own = entering[t]
-            np.multiply(flow, to_update[t], out=own[:, :h])
-            np.multiply(dreset, to_reset[t], out=own[:, h:2 * h])
-            own[:, 2 * h:] = dnew
+            dnew = np.multiply(flow, to_new[t], out=own[2 * h:])
+            dreset = p["new"] @ dnew
+            np.multiply(flow, to_update[t], out=own[:h])
+            np.multiply(dreset, to_reset[t], out=own[h:2 * h])
             flow *= stay[t]
             dreset *= r[t]
             flow += dreset
-            flow += own[:, :2 * h] @ from_gates
-            flow += into[t]
+            flow += p["gate"] @ own[:2 * h]
+            flow += into[:, t]
             if begins[t]:
-                flow *= ~fresh[t][:, None]
-        flat = entering.reshape(-1, 3 * h)
+                flow *= ~fresh[t]
+        flat = entering.transpose(1, 0, 2).reshape(3 * h, -1)
         grads = {"classes": out["classes"], "words": out["words"], "embed": np.zeros_like(p["embed"]),
-                 "gate": states.reshape(-1, h).T @ flat[:, :2 * h], "new": (r * states).reshape(-1, h).T @ flat[:, 2 * h:]}
+                 "gate": columns @ flat[:2 * h].T, "new": across(reset.transpose(0, 2, 1)) @ flat[2 * h:].T}
         order = np.argsort(inputs.astype(np.uint16 if self.tokens <= 1 << 16 else np.int64), axis=None, kind="stable")
         tokens = inputs.ravel()[order]
         first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        grads["embed"][tokens[first]] = np.add.reduceat(flat[order], first, axis=0)
+        rows = entering.transpose(0, 2, 1).reshape(-1, 3 * h)
+        grads["embed"][tokens[first]] = np.add.reduceat(rows[order], first, axis=0)
         return {k: g / count for k, g in grads.items()}, after
 
 
+def across(states: np.ndarray) -> np.ndarray:
+    """(steps x lanes x hidden) with a column for each step and lane."""
+    return states.transpose(2, 0, 1).reshape(states.shape[2], -1)
+
+
 class Adam:
     def __init__(self, network: Network, rate: float = RATE):
         self.network, self.rate, self.turn = network, rate, 0
@@ -445,7 +474,8 @@ def score(docs: DataFrame, known: Corpus, network: Network, counts: DataFrame) -
         for order, inputs, fresh, targets, live, owner in lanes_of(sequences(), LANES, WINDOW):
             states, state[order], _ = model.read(inputs, fresh, state[order])
             mask = live.ravel()
-            logp, _, _ = model.log_probabilities(states.reshape(-1, model.hidden)[mask], targets.ravel()[mask])
+            columns = across(states) if mask.all() else across(states)[:, mask]
+            logp, _, _ = model.log_probabilities(columns.T, targets.ravel()[mask])
             owners, of = np.unique(owner.ravel()[mask], return_inverse=True)
             sums, many = np.bincount(of, logp.astype(np.float64)), np.bincount(of)
             for number, value, n in zip(owners.tolist(), sums.tolist(), many.tolist()):
