@@ -33,6 +33,8 @@ HIDDEN = 16
 #: Tokens of a window, over which gradients flow; sequences that run side by side.
 WINDOW = 32
 LANES = 384
+#: Steps of a window in scoring, where its length changes nothing but the size of the matrices.
+SCORED = 64
 #: First rate of learning, and the steps after which it begins to fall.
 RATE = 0.02
 SLOWER = 100
@@ -471,14 +473,21 @@ def score(docs: DataFrame, known: Corpus, network: Network, counts: DataFrame) -
                 yield number, ids
 
         state = np.zeros((LANES, model.hidden), np.float32)
-        for order, inputs, fresh, targets, live, owner in lanes_of(sequences(), LANES, WINDOW):
+        for order, inputs, fresh, targets, live, owner in lanes_of(sequences(), LANES, SCORED):
             states, state[order], _ = model.read(inputs, fresh, state[order])
             mask = live.ravel()
             columns = across(states) if mask.all() else across(states)[:, mask]
             logp, _, _ = model.log_probabilities(columns.T, targets.ravel()[mask])
-            owners, of = np.unique(owner.ravel()[mask], return_inverse=True)
-            sums, many = np.bincount(of, logp.astype(np.float64)), np.bincount(of)
-            for number, value, n in zip(owners.tolist(), sums.tolist(), many.tolist()):
+            # A document's steps lie one after the other in its lane.
+            values = np.zeros(mask.size)
+            values[mask] = logp
+            owners = owner.T.ravel()
+            first = np.flatnonzero(np.append(True, owners[1:] != owners[:-1]))
+            sums = np.add.reduceat(values.reshape(live.shape).T.ravel(), first)
+            many = np.diff(np.append(first, len(owners)))
+            for number, value, n in zip(owners[first].tolist(), sums.tolist(), many.tolist()):
+                if number < 0:
+                    continue
                 entry = held[number]
                 entry[7] += value
                 entry[8] += n
