@@ -90,6 +90,24 @@ def gallery_model(files):
 @pytest.mark.parametrize("group", [10_000, 5])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_gallery_fold_equals_model(spark, group, seed):
+    files, model = gallery_files(spark, seed)
+    kept, pairs = dedupe.gallery_dedupe(files, group)
+    want_kept, want_pairs = gallery_model(model)
+    assert {r["key"]: r["id"] for r in kept.collect()} == want_kept
+    assert sorted((r["skipped"], r["preferred"]) for r in pairs.collect()) == want_pairs
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_gallery_fold_over_many_levels(spark, seed):
+    files, model = gallery_files(spark, seed)
+    kept, pairs = dedupe.gallery_dedupe(files, 2, fan_in=3)
+    want_kept, want_pairs = gallery_model(model)
+    assert {r["key"]: r["id"] for r in kept.collect()} == want_kept
+    assert sorted((r["skipped"], r["preferred"]) for r in pairs.collect()) == want_pairs
+    assert [df.count() for df in dedupe.gallery_dedupe(files.limit(0))] == [0, 0]
+
+
+def gallery_files(spark, seed):
     rnd = random.Random(seed)
     model, rows = [], []
     for pos in range(300):
@@ -100,8 +118,4 @@ def test_gallery_fold_equals_model(spark, group, seed):
         name = f"Gallery {title}" if marked else title
         model.append((f"f{pos}", title, created, size, marked))
         rows.append((f"f{pos}", name, pos, created, "n/a" if size < 0 else str(size)))
-    files = spark.createDataFrame(rows, "id STRING, name STRING, pos BIGINT, created STRING, size STRING")
-    kept, pairs = dedupe.gallery_dedupe(files, group)
-    want_kept, want_pairs = gallery_model(model)
-    assert {r["key"]: r["id"] for r in kept.collect()} == want_kept
-    assert sorted((r["skipped"], r["preferred"]) for r in pairs.collect()) == want_pairs
+    return spark.createDataFrame(rows, "id STRING, name STRING, pos BIGINT, created STRING, size STRING"), model

@@ -2,188 +2,139 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vocarium.functions import text as tx
 from vocarium.operators.ranking import global_position
-from vocarium.session import materialise
-
-#: Files of one title folded in one row; larger titles are folded block by block.
-GROUP = 10_000
-
+from vocarium.session import materialise, written
 
-def _better(current: Column, other: Column) -> Column:
-    """Does the later file replace the current one."""
-    earlier = (other["created"] != "") & ((current["created"] == "") | (other["created"] < current["created"]))
-    return F.when(current["marked"] != other["marked"], current["marked"]).otherwise(
-        earlier | (other["size"] > current["size"]))
+#: Files of one title folded together, and summaries put together at a time.
+BLOCK = 1024
+FAN_IN = 1024
+#: Stands for a missing creation time: later than any.
+NEVER = "\U0010ffff"
+_FILE = "STRUCT<pos: BIGINT, id: STRING, created: STRING, size: BIGINT, marked: BOOLEAN>"
+_KIND = f"STRUCT<lo: STRING, hi: BIGINT, last: {_FILE}>"
 
 
 def _prepared(files: DataFrame) -> DataFrame:
     size = F.when(F.col("size").rlike(r"^\d+$"), F.col("size").try_cast("bigint"))
+    created = F.coalesce(F.nullif("created", F.lit("")), F.lit(NEVER))
     return files.select(
-        tx.canonical_title(F.col("name")).alias("key"), "pos", "id", F.coalesce("created", F.lit("")).alias("created"),
-        F.coalesce(size, F.lit(-1)).alias("size"), tx.has_marker(F.col("name")).alias("marked"))
-
-
-def _fold_small(prepared: DataFrame) -> DataFrame:
-    items = F.array_sort(F.collect_list(F.struct("pos", "id", "created", "size", "marked")))
-    grouped = prepared.groupBy("key").agg(items.alias("items"))
-    first = F.get("items", F.lit(0))
-    start = F.struct(first.alias("kept"), F.expr(
-        "CAST(array() AS ARRAY<STRUCT<skipped: STRING, preferred: STRING>>)").alias("pairs"))
-
-    def step(state: Column, item: Column) -> Column:
-        wins = _better(state["kept"], item)
-        loser = F.when(wins, state["kept"]["id"]).otherwise(item["id"])
-        winner = F.when(wins, item["id"]).otherwise(state["kept"]["id"])
-        pair = F.struct(loser.alias("skipped"), winner.alias("preferred"))
-        return F.struct(F.when(wins, item).otherwise(state["kept"]).alias("kept"),
-                        F.concat(state["pairs"], F.array(pair)).alias("pairs"))
-
-    rest = F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0)))
-    return grouped.withColumn("state", F.aggregate(rest, start, step)).select(
-        "key", F.col("state.kept.id").alias("kept"), F.col("state.pairs").alias("pairs"))
-
-
-# A title with more files than one row should hold is folded in blocks of neighbouring positions.
-# Among files of one kind the current file gives way to the first later one that is earlier or
-# larger, so what a block does to any file entering it follows from its record files: those
-# earlier, or larger, than all before them. Marked files matter until the first unmarked one.
-
-_SUMMARY = (
-    "key STRING, block BIGINT, marked BOOLEAN, records ARRAY<STRUCT<at: BIGINT, created: STRING, size: BIGINT, "
-    "leaves_id: STRING, leaves_created: STRING, leaves_size: BIGINT>>")
-_LATEST = "\U0010ffff"  # stands for a missing creation time: later than any
-
-
-def _beats(created: str, size: int, than_created: str, than_size: int) -> bool:
-    return created < than_created or size > than_size
-
-
-def _leaving(items: list[tuple[str, str, int]]) -> list[int]:
-    """For every file of one kind: the file that is current at the end when it enters."""
-    count = len(items)
-    follow, earlier, larger = [count] * count, [], []
-    for i in range(count - 1, -1, -1):
-        _, created, size = items[i]
-        while earlier and items[earlier[-1]][1] >= created:
-            earlier.pop()
-        while larger and items[larger[-1]][2] <= size:
-            larger.pop()
-        follow[i] = min(earlier[-1] if earlier else count, larger[-1] if larger else count)
-        earlier.append(i)
-        larger.append(i)
-    leaves = list(range(count))
-    for i in range(count - 1, -1, -1):
-        if follow[i] < count:
-            leaves[i] = leaves[follow[i]]
-    return leaves
-
-
-def _summarise(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
-    """Records of a block, for its marked and its unmarked files."""
-    rows = []
-    for marked, part in files.sort_values("pos").groupby("marked"):
-        items = list(zip(part["id"], part["created"].replace("", _LATEST), part["size"]))
-        leaves = _leaving(items)
-        records, best_created, best_size = [], None, None
-        for i, (_, created, size) in enumerate(items):
-            if i == 0 or created < best_created or size > best_size:
-                end = items[leaves[i]]
-                records.append({"at": i, "created": created, "size": size, "leaves_id": end[0],
-                                "leaves_created": end[1], "leaves_size": end[2]})
-                best_created = created if i == 0 else min(best_created, created)
-                best_size = size if i == 0 else max(best_size, size)
-        rows.append((key[0], key[1], bool(marked), records))
-    return pd.DataFrame(rows, columns=["key", "block", "marked", "records"])
-
-
-_ENTERING = "key STRING, block BIGINT, cur_id STRING, cur_created STRING, cur_size BIGINT, cur_marked BOOLEAN"
-
-
-def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Current file at the start of every block, from summaries sorted by key and block.
-
-    Marked summaries come first within a block. One current file is held; a null id starts a key.
-    """
-    key = current = seen = None
-    for frame in batches:
-        rows = []
-        for row in frame.itertuples(index=False):
-            if row.key != key:
-                key, current, seen = row.key, None, None
-            if row.block != seen:
-                rows.append((key, row.block, *(current or (None, None, None, None))))
-                seen = row.block
-            current = _after(current, row)
-        out = pd.DataFrame(rows, columns=["key", "block", "cur_id", "cur_created", "cur_size", "cur_marked"])
-        yield out.astype({"cur_size": "Int64", "cur_marked": "boolean"})
-
-
-def _after(current: tuple | None, row) -> tuple:
-    """Current file after the files of one kind in a block."""
-    if current is not None and current[3] != row.marked:
-        if row.marked:
-            return current
-        current = None  # an unmarked file replaces any marked one
-    for record in row.records:
-        if current is None or _beats(record["created"], record["size"], current[1], current[2]):
-            return record["leaves_id"], record["leaves_created"], record["leaves_size"], row.marked
-    return current
-
-
-_PAIRS = "key STRING, skipped STRING, preferred STRING, pos BIGINT"
-
-
-def _fold_block(key: tuple, files: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block whose entering file is known."""
-    files = files.sort_values("pos")
-    head = files.iloc[0]
-    current = None if pd.isna(head["cur_id"]) else (
-        head["cur_id"], head["cur_created"], int(head["cur_size"]), bool(head["cur_marked"]))
-    rows = []
-    for item in files.itertuples(index=False):
-        other = (item.id, item.created or _LATEST, item.size, item.marked)
-        if current is None:
-            current = other
-            continue
-        wins = current[3] if current[3] != other[3] else _beats(other[1], other[2], current[1], current[2])
-        loser, current = (current, other) if wins else (other, current)
-        rows.append((key[0], loser[0], current[0], item.pos))
-    return pd.DataFrame(rows, columns=["key", "skipped", "preferred", "pos"])
-
-
-def _fold_large(prepared: DataFrame, block: int) -> DataFrame:
-    """Pairs of titles of any size; no task holds more than one block of files."""
-    blocked = prepared.withColumn("block", F.floor(F.col("pos") / block))
-    summaries = blocked.groupBy("key", "block").applyInPandas(_summarise, _SUMMARY)
-    entering = (
-        summaries.repartition("key").sortWithinPartitions("key", "block", F.desc("marked"))
-        .mapInPandas(_resolve, _ENTERING))
-    return blocked.join(entering, ["key", "block"]).groupBy("key", "block").applyInPandas(_fold_block, _PAIRS)
-
-
-def gallery_dedupe(files: DataFrame, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+        tx.canonical_title(F.col("name")).alias("key"), F.struct(
+            F.col("pos").cast("bigint").alias("pos"), F.col("id").cast("string").alias("id"),
+            created.alias("created"), F.coalesce(size, F.lit(-1)).cast("bigint").alias("size"),
+            tx.has_marker(F.col("name")).alias("marked")).alias("file"))
+
+
+# The fold keeps one current file. Of two files of one kind (marked or not) the later wins if it is
+# earlier created or larger. What a run of files of one kind does to any file entering it has a short
+# form: let ``last`` be the file it ends with when nothing enters, and ``lo`` and ``hi`` its earliest
+# creation and largest size. A file that none of the run beats, by ``lo`` and ``hi``, stays to the end.
+# Any other ends as ``last``: nothing after ``last`` beats it, else it would not be the end; and a file
+# current before ``last`` that ``last`` does not beat is at least as early and as large as ``last``, so
+# it could not be beaten by anything after it either, and would itself be the end. Marked files matter
+# until the first unmarked one, so a block is described by one such triple for each kind, whatever its
+# length, and the triples of neighbours make the triple of both.
+
+
+def _loses(current: Column, kind: Column) -> Column:
+    """Is the file beaten by any of a run of its own kind."""
+    return (kind["lo"] < current["created"]) | (kind["hi"] > current["size"])
+
+
+def _both(first: Column, second: Column) -> Column:
+    """Triple of two neighbouring runs of one kind; null is an empty run."""
+    joined = F.struct(
+        F.least(first["lo"], second["lo"]).alias("lo"), F.greatest(first["hi"], second["hi"]).alias("hi"),
+        F.when(_loses(first["last"], second), second["last"]).otherwise(first["last"]).alias("last"))
+    return F.when(first.isNull(), second).when(second.isNull(), first).otherwise(joined)
+
+
+def _merged(items: Column, marked, unmarked) -> Column:
+    """Triples of both kinds over an ordered array whose items give theirs by the two functions."""
+    nothing = F.lit(None).cast(_KIND)
+    return F.aggregate(
+        items, F.struct(nothing.alias("marked"), nothing.alias("unmarked")),
+        lambda done, item: F.struct(_both(done["marked"], marked(item)).alias("marked"),
+                                    _both(done["unmarked"], unmarked(item)).alias("unmarked")))
+
+
+def _own(item: Column, marked: bool) -> Column:
+    """The triple of a single file, null if it is of the other kind."""
+    triple = F.struct(item["created"].alias("lo"), item["size"].alias("hi"), item.alias("last"))
+    return F.when(item["marked"] == marked, triple)
+
+
+def _after(current: Column, block: Column) -> Column:
+    """Current file after a block, for the file (or null) that enters it."""
+    marked, unmarked = block["marked"], block["unmarked"]
+    then = F.when(current.isNull(), marked["last"]).when(
+        current["marked"] & marked.isNotNull() & _loses(current, marked), marked["last"]).otherwise(current)
+    return F.when(unmarked.isNull(), then).when(
+        current.isNull() | current["marked"] | _loses(current, unmarked), unmarked["last"]).otherwise(current)
+
+
+def _entries(tables: list[DataFrame], fan_in: int) -> DataFrame:
+    """``(key, block, entry)``: the file that is current where each block begins, null at a title's start."""
+    nothing = F.lit(None).cast(_FILE)
+    entries = tables[-1].select("key", "block", nothing.alias("entry"))
+    for level in reversed(tables[:-1]):
+        parents = entries.select("key", F.col("block").alias("parent"), "entry")
+        children = level.groupBy("key", F.floor(F.col("block") / fan_in).alias("parent")).agg(
+            F.array_sort(F.collect_list(F.struct("block", "does"))).alias("children"))
+
+        def step(state: Column, child: Column) -> Column:
+            begins = F.struct(child["block"].alias("block"), state["current"].alias("entry"))
+            return F.struct(_after(state["current"], child["does"]).alias("current"),
+                            F.concat(state["begins"], F.array(begins)).alias("begins"))
+
+        start = F.struct(F.col("entry").alias("current"), F.expr(
+            f"CAST(array() AS ARRAY<STRUCT<block: BIGINT, entry: {_FILE}>>)").alias("begins"))
+        entries = children.join(parents, ["key", "parent"]).select(
+            "key", F.explode(F.aggregate("children", start, step, lambda state: state["begins"])).alias("b")).select(
+            "key", "b.block", "b.entry")
+    return entries
+
+
+def gallery_dedupe(files: DataFrame, block: int = BLOCK, fan_in: int = FAN_IN) -> tuple[DataFrame, DataFrame]:
     """Kept file per canonical title, and every (skipped, preferred) pair, in input order.
 
-    The preference is not transitive, so each title is folded in order of ``pos``, which is
-    unique. Titles of ordinary size fold as arrays in the JVM, titles of more than ``group``
-    files block by block.
+    The preference is not transitive, so each title is folded in order of ``pos``, which is unique and
+    not negative. A title of any size is folded in blocks of neighbouring positions: their summaries,
+    of one size each, are put together level by level until a title has one, which gives the file that
+    is current where each block begins; then all blocks fold side by side. No row holds more than
+    ``block`` files or ``fan_in`` summaries.
     """
-    prepared = _prepared(files)
-    large = prepared.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > group).select("key")
-    small = _fold_small(prepared.join(large, "key", "left_anti"))
-    kept = small.select("key", F.col("kept").alias("id"))
-    pairs = small.select("key", F.explode("pairs").alias("p")).select("key", "p.skipped", "p.preferred")
-    if large.limit(1).count():
-        folded = materialise(_fold_large(prepared.join(large, "key", "left_semi"), group))
-        kept = kept.unionByName(folded.groupBy("key").agg(F.max_by("preferred", "pos").alias("id")))
-        pairs = pairs.unionByName(folded.select("key", "skipped", "preferred"))
-    return kept, pairs
+    items = F.array_sort(F.collect_list("file")).alias("items")
+    blocks = written(_prepared(files).groupBy("key", F.floor(F.col("file.pos") / block).alias("block")).agg(items), "titles")
+    does = _merged(F.col("items"), lambda f: _own(f, True), lambda f: _own(f, False))
+    tables = [materialise(blocks.select("key", "block", does.alias("does")))]
+    last = tables[0].agg(F.max("block")).first()[0] or 0
+    while last > 0:
+        ordered = F.array_sort(F.collect_list(F.struct("block", "does"))).alias("children")
+        both = _merged(F.col("children"), lambda c: c["does"]["marked"], lambda c: c["does"]["unmarked"])
+        tables.append(materialise(
+            tables[-1].groupBy("key", F.floor(F.col("block") / fan_in).alias("parent")).agg(ordered)
+            .select("key", F.col("parent").alias("block"), both.alias("does"))))
+        last //= fan_in
+    kept = tables[-1].select("key", _after(F.lit(None).cast(_FILE), F.col("does"))["id"].alias("id"))
+
+    def step(state: Column, item: Column) -> Column:
+        current = state["current"]
+        wins = F.when(current["marked"] != item["marked"], current["marked"]).otherwise(
+            (item["created"] < current["created"]) | (item["size"] > current["size"]))
+        pair = F.struct(F.when(wins, current["id"]).otherwise(item["id"]).alias("skipped"),
+                        F.when(wins, item["id"]).otherwise(current["id"]).alias("preferred"))
+        return F.struct(
+            F.when(current.isNull() | wins, item).otherwise(current).alias("current"),
+            F.when(current.isNull(), state["pairs"]).otherwise(F.concat(state["pairs"], F.array(pair))).alias("pairs"))
+
+    start = F.struct(F.col("entry").alias("current"), F.expr(
+        "CAST(array() AS ARRAY<STRUCT<skipped: STRING, preferred: STRING>>)").alias("pairs"))
+    pairs = blocks.join(_entries(tables, fan_in), ["key", "block"]).select(
+        "key", F.explode(F.aggregate("items", start, step, lambda state: state["pairs"])).alias("p"))
+    return kept, pairs.select("key", "p.skipped", "p.preferred")
 
 
 def oldest_first(files: DataFrame, kept: DataFrame, limit: int) -> DataFrame:
