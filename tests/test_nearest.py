@@ -67,3 +67,16 @@ def test_sparse_search_equals_all_products(spark):
         if scored:
             want[query] = [(rank, doc, -score) for rank, (score, doc) in enumerate(sorted(scored)[:5], 1)]
     assert got == want
+
+
+def test_probes_find_neighbours_of_vectors_that_were_no_seeds():
+    draw = np.random.default_rng(4)
+    unit = draw.normal(size=(8300, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sample, asked = unit[:8000], unit[8000:]
+    centroids = ivf.train(sample, 300)
+    probes = ivf.probes_for(sample, centroids, 0.95)
+    near = np.argsort(-(asked @ sample.T), axis=1)[:, :10]
+    probed = ivf.ranked_lists(asked, centroids, probes)
+    of = ivf.ranked_lists(sample, centroids, 1)[:, 0]
+    assert np.mean((of[near][:, :, None] == probed[:, None, :]).any(2)) >= 0.93
