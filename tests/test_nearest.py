@@ -80,3 +80,14 @@ def test_probes_find_neighbours_of_vectors_that_were_no_seeds():
     probed = ivf.ranked_lists(asked, centroids, probes)
     of = ivf.ranked_lists(sample, centroids, 1)[:, 0]
     assert np.mean((of[near][:, :, None] == probed[:, None, :]).any(2)) >= 0.93
+
+
+def test_sparse_dot_gives_every_pair_with_a_common_slot(spark):
+    stored = [(i, [i % 3, 5, 5], [1.0, 2.0, -1.0]) for i in range(60)] + [(70, [8], [1.0]), (71, None, None)]
+    queries = [(1, [5], [2.0]), (2, [0, 1], [1.0, 3.0]), (3, [99], [1.0]), (4, None, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} BIGINT, indices ARRAY<BIGINT>, values ARRAY<DOUBLE>")
+    index = sparse.sparse_index(frame(stored, "id").repartition(3), block=8)
+    got = sorted(map(tuple, sparse.sparse_dot(frame(queries, "query_id"), index, block=8).collect()))
+    want = [(1, i, 2.0) for i in range(60)] + [(2, i, 1.0 + 2.0 * (i % 3)) for i in range(60) if i % 3 < 2]
+    assert got == sorted(want)
+    assert sparse.sparse_dot(frame([], "query_id"), index, block=8).count() == 0

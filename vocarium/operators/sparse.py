@@ -70,44 +70,94 @@ def sparse_search(queries: DataFrame, index: DataFrame, k: int, block: int = BLO
     ``queries(query_id, indices, values)`` against ``sparse_index``; a vector without a common index is no hit.
     """
     parts = None
+    for ids, wanted in _asked(queries):
+        hits = by_block(index, list(wanted), 1).mapInArrow(_nearest(ids, wanted, k, block), HITS)
+        best = top_k_spread(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+        parts = best if parts is None else parts.unionByName(best)
+    return parts
+
+
+def sparse_dot(queries: DataFrame, index: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Dot products of every query with every stored vector that shares an index with it: ``(query_id, chunk_id, score)``.
+
+    The queries travel to the blocks; hits are sent as they are found and are not shuffled.
+    """
+    parts = None
+    for ids, wanted in _asked(queries):
+        hits = by_block(index, list(wanted), 1).mapInArrow(_products(ids, wanted, block), HITS)
+        parts = hits if parts is None else parts.unionByName(hits)
+    return parts
+
+
+Wanted = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _asked(queries: DataFrame) -> Iterator[tuple[np.ndarray, Wanted]]:
+    """Ids of the queries of a batch, and by slot the places and weights of those that have it."""
     for rows in collected_batches(queries, "query_id", F.col("indices").cast("array<string>").alias("indices"), F.col("values").cast("array<double>").alias("values")):
         weights: dict[str, dict[int, float]] = defaultdict(lambda: defaultdict(float))
         for place, row in enumerate(rows):
             for slot, value in zip(row["indices"] or [], row["values"] or []):
                 weights[slot][place] += value
         wanted = {slot: (np.array(list(own)), np.array(list(own.values()))) for slot, own in weights.items()}
-        ids = np.array([row["query_id"] for row in rows], dtype=np.int64)
-        hits = by_block(index, list(wanted), 1).mapInArrow(_nearest(ids, wanted, k, block), HITS)
-        best = top_k_spread(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-        parts = best if parts is None else parts.unionByName(best)
-    return parts
+        yield np.array([row["query_id"] for row in rows], dtype=np.int64), wanted
+
+
+def _met(batches: Iterator[pa.RecordBatch], wanted: Wanted):
+    """Of each block its entries and its matches: query, weight and place of the entry, by query."""
+    for keys, tops, entries in blocks(batches, _ENTRY):
+        holders = [wanted[key] for key in keys]
+        of = np.repeat(np.arange(len(keys)), [len(h[0]) for h in holders])
+        query, weight = (np.concatenate([h[i] for h in holders]) for i in (0, 1))
+        order = np.argsort(query, kind="stable")
+        yield entries, np.array(tops), query[order], weight[order], of[order]
+
+
+def _named(entries: list[dict[str, np.ndarray]], size: int) -> np.ndarray:
+    """Ids of the vectors of a block by slot."""
+    named = np.zeros(size, np.int64)
+    for entry in entries:
+        named[entry["slot"]] = entry["chunk_id"]
+    return named
+
+
+def _scores(entries: list[dict[str, np.ndarray]], weight: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score of every slot for one query, and which slots it meets."""
+    score, met = np.zeros(size), np.zeros(size, bool)
+    for w, at in zip(weight.tolist(), of.tolist(), strict=True):
+        slots = entries[at]["slot"]
+        score[slots] += w * entries[at]["value"]
+        met[slots] = True
+    return np.round(score, 9), met
+
+
+def _products(ids: np.ndarray, wanted: Wanted, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for entries, _, query, weight, of in _met(batches, wanted):
+            named, cuts = _named(entries, size), np.flatnonzero(np.diff(query)) + 1
+            for q, w, at in zip(np.split(query, cuts), np.split(weight, cuts), np.split(of, cuts), strict=True):
+                score, met = _scores(entries, w, at, size)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(met.sum(), ids[q[0]])), pa.array(named[met]), pa.array(score[met])], names=["query_id", "chunk_id", "score"])
+
+    return run
 
 
-def _nearest(ids: np.ndarray, wanted: dict[str, tuple[np.ndarray, np.ndarray]], k: int, size: int):
+def _nearest(ids: np.ndarray, wanted: Wanted, k: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
         best = Best(len(ids), k)
-        for keys, tops, entries in blocks(batches, _ENTRY):
-            holders = [wanted[key] for key in keys]
-            of = np.repeat(np.arange(len(keys)), [len(h[0]) for h in holders])
-            query, weight = (np.concatenate([h[i] for h in holders]) for i in (0, 1))
-            bound = np.bincount(query, np.abs(weight) * np.array(tops)[of], len(ids))
-            order = np.argsort(query, kind="stable")
+        for entries, tops, query, weight, of in _met(batches, wanted):
+            bound = np.bincount(query, np.abs(weight) * tops[of], len(ids))
             present = np.unique(query)
-            first, beyond = np.searchsorted(query[order], present, "left"), np.searchsorted(query[order], present, "right")
-            named = np.zeros(size, np.int64)
-            for entry in entries:
-                named[entry["slot"]] = entry["chunk_id"]
+            first, beyond = np.searchsorted(query, present, "left"), np.searchsorted(query, present, "right")
+            named = _named(entries, size)
             for q, start, end in zip(present.tolist(), first.tolist(), beyond.tolist(), strict=True):
                 if bound[q] * (1 + 1e-12) + 1e-9 < best.least(q):
                     continue
-                score, met = np.zeros(size), np.zeros(size, bool)
-                for at in order[start:end].tolist():
-                    slots = entries[of[at]]["slot"]
-                    score[slots] += weight[at] * entries[of[at]]["value"]
-                    met[slots] = True
-                best.add(q, named[met], np.round(score[met], 9))
+                score, met = _scores(entries, weight[start:end], of[start:end], size)
+                best.add(q, named[met], score[met])
         yield best.batch(ids)
 
     return run
