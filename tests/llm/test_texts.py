@@ -270,6 +270,14 @@ def test_licence_scan(spark, none):
     assert licences.scan(none).count() == 0
 
 
+def test_every_background_paragraph_counts(spark):
+    texts = [f"the terms of meeting {i} are in the annex\nno other words {i}\nReleased under the MIT License." for i in range(6000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "the terms")], "doc_id long, text string")
+    found = licences.background(docs, ["the", "terms of", "no"]).collect()
+    assert sum(r["n"] for r in found) == 12001
+    assert {tuple(r["runs"]) for r in found} == {("terms of", "the"), ("no",), ("the",)} and {r["half"] for r in found} == {0, 1}
+
+
 def test_wrapped_notices(spark):
     notices = {
         "mit": "MIT License\n\nCopyright (c) 2020 Some Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"

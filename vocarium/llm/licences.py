@@ -3,13 +3,14 @@
 A paragraph is a line of a text, or a window of up to ``LINES`` lines without a blank one between them,
 so that wrapped statements are read as one. A logistic regression over the one- and two-word runs of a
 paragraph, with a class for each licence family and one for none, is fitted to wordings of the licence
-templates and to paragraphs without licence words. A paragraph is of the family with the highest
-probability, or unknown: the probability must pass a threshold calibrated on paragraphs that the fit
+templates and to half of all paragraphs without licence words. A paragraph is of the family with the highest
+probability, or unknown: the probability must pass a threshold calibrated on the other half, which the fit
 has not seen, and the paragraph must then hold most words and pairs of one of the family's templates. Of
 windows that share a line the one that holds most of its template stays, then the shortest.
 
-The fit, the feature counts and the scores are those of Spark's own ML library, which runs in the
-JVM. The sample, the features and the weights are bounded by the parameters below.
+The features are the runs of the wordings. Paragraphs that hold the same of them are one row of the fit with
+their number as weight, so all of them count, and most rows of a corpus fall together. The fit and the scores
+are those of Spark's own ML library, which runs in the JVM.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ FAMILIES = tuple(TEMPLATES)
 #: Words before and after which a statement may stand in a wording used for the fit.
 LEADS = ("", "note", "this file is", "the code below is", "unless stated otherwise")
 TAILS = ("", "see the file for details", "version", "by the authors")
-#: Background paragraphs for the fit and as many again for the calibration, by the least hash.
+#: Weight of all background paragraphs together in the fit at most: how likely a statement is beforehand.
 BACKGROUND = 2000
 #: Features of the model; share of calibration paragraphs that may pass; words a template must share.
 FEATURES = 4000
@@ -88,9 +89,14 @@ def words(text: Column) -> Column:
 
 def runs(tokens: Column) -> Column:
     """Distinct words and pairs of neighbouring words."""
+    return F.array_distinct(neighbours(tokens))
+
+
+def neighbours(tokens: Column) -> Column:
+    """Words and pairs of neighbouring words, repeats included."""
     following = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
     pairs = F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), following, lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(tokens, pairs))
+    return F.concat(tokens, pairs)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -192,16 +198,29 @@ def templates(spark: SparkSession) -> DataFrame:
     return literal_rows(spark, rows, ("text", "label", "family"))
 
 
-def background(docs: DataFrame, rows: int = 2 * BACKGROUND) -> DataFrame:
-    """``(text, h)``: at most ``rows`` distinct paragraphs without licence words, by the least hash.
+def background(docs: DataFrame, features: list[str]) -> DataFrame:
+    """``(half, runs, n)``: how many of all paragraphs without licence words hold exactly these features, in each half.
 
-    They are taken from as many documents, also by the least hash, so that few texts are compared.
+    Equal paragraphs are in the same half. Those that hold most of a template are statements and left out.
     """
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    plain = paragraphs(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias("_id"))), F.col("doc_id").cast("bigint") == F.col("_id"), "left_semi"))
-    short = plain.filter(~F.col("text").rlike(STATEMENT)).select(F.substring("text", 1, 2000).alias("text"))
-    return short.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(rows)
+    plain = paragraphs(docs).filter(~F.col("text").rlike(STATEMENT)).select(
+        F.pmod(F.xxhash64("text"), F.lit(2)).alias("half"), words(F.col("text")).alias("tokens"))
+    known = lambda run: run.isin(features)
+    counted = plain.select("half", F.array_sort(F.array_distinct(F.filter(neighbours(F.col("tokens")), known))).alias("runs")).groupBy(
+        "half", "runs").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(template_runs(docs.sparkSession).agg(F.flatten(F.collect_list("templates")).alias("templates")))).filter(
+        template_share() < CONFIRMED).drop("templates")
+
+
+def template_runs(spark: SparkSession) -> DataFrame:
+    """``(label, family, templates)``: the runs of each template of a family; constants of this module."""
+    own = templates(spark).select("label", "family", runs(words(F.col("text"))).alias("template"))
+    return own.groupBy("label", "family").agg(F.collect_list("template").alias("templates"))
+
+
+def template_share() -> Column:
+    """Largest share of the runs of one of ``templates`` that ``runs`` hold."""
+    return F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("runs"))) / F.size(t)))
 
 
 class Scanner:
@@ -209,21 +228,23 @@ class Scanner:
 
     def __init__(self, docs: DataFrame):
         spark = docs.sparkSession
-        found = written(background(docs), "background")
-        turn = F.pmod(F.shiftright("h", 8), F.lit(2))
-        none = found.filter(turn == 0).select("text", F.lit(0.0).alias("label"))
-        rows = written(wordings(spark).union(none).withColumn("runs", runs(words(F.col("text")))), "wordings")
-        self.features = CountVectorizer(inputCol="runs", outputCol="features", vocabSize=FEATURES, minDF=2.0, binary=True).fit(rows)
-        self.model = LogisticRegression(maxIter=ITERATIONS, regParam=0.002, elasticNetParam=0.2, family="multinomial").fit(
-            self.features.transform(rows).select("features", "label"))
-        unseen = self.scored(found.filter(turn == 1).select("text"))
-        quantile = F.percentile(F.col("probability"), 1 - FALSE_SHARE)
-        passed = unseen.agg(quantile.alias("p")).first()["p"]
-        self.threshold = min(0.95, max(0.5, passed or 0.0))
+        listed = written(wordings(spark).select("label", runs(words(F.col("text"))).alias("runs")), "wordings")
+        self.features = CountVectorizer(inputCol="runs", outputCol="features", vocabSize=FEATURES, binary=True).fit(listed)
+        found = written(background(docs, self.features.vocabulary), "background")
+        total = found.filter("half = 0").agg(F.sum("n").alias("n")).first()["n"] or 0
+        weight = F.col("n") * min(1.0, BACKGROUND / max(total, 1))
+        rows = listed.withColumn("weight", F.lit(1.0)).unionByName(
+            found.filter("half = 0").select(F.lit(0.0).alias("label"), "runs", weight.alias("weight")))
+        self.model = LogisticRegression(maxIter=ITERATIONS, regParam=0.002, elasticNetParam=0.2, family="multinomial", weightCol="weight").fit(
+            self.features.transform(rows).select("features", "label", "weight"))
+        # Only the part of the probabilities between the bounds of the threshold matters, so few values are told apart.
+        bounded = F.greatest(F.lit(0.5), F.least(F.lit(0.95), F.col("probability")))
+        passed = self.scored(found.filter("half = 1")).agg(F.percentile(bounded, 1 - FALSE_SHARE, F.col("n")).alias("p")).first()["p"]
+        self.threshold = passed or 0.5
 
     def scored(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with ``runs``, the best family's ``label`` and its ``probability``."""
-        marked = self.model.transform(self.features.transform(rows.withColumn("runs", runs(words(F.col("text"))))))
+        """``rows`` with the best family's ``label`` and its ``probability``, by their ``runs``."""
+        marked = self.model.transform(self.features.transform(rows))
         families = F.slice(vector_to_array(F.col("probability")), 2, len(FAMILIES))
         return (
             marked.withColumn("chances", families).drop("features", "rawPrediction", "prediction", "probability")
@@ -237,17 +258,13 @@ def scan(docs: DataFrame) -> DataFrame:
     ``paragraph`` is the number of its first line. All lines of all whole texts and windows of lines are
     scored that hold as many strong words as the least that any template asks for. Null and blank texts have none; equal paragraphs and
     repeated rows are rows of their own; ids may be null; other columns are ignored. The model is
-    fitted to the templates and a bounded sample of paragraphs; an empty table gives no rows.
+    fitted to the templates and to all paragraphs without licence words; an empty table gives no rows.
     """
     spark = docs.sparkSession
     if not docs.limit(1).count():
         return spark.createDataFrame([], "doc_id long, paragraph int, family string, probability double, template_share double")
     scanner = Scanner(docs)
-    found = scanner.scored(windows(docs)).filter(F.col("probability") >= scanner.threshold)
-    own = templates(spark).select("label", "family", runs(words(F.col("text"))).alias("template"))
-    listed = own.groupBy("label", "family").agg(F.collect_list("template").alias("templates"))
-    share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("runs"))) / F.size(t)))
-    # The templates are constants of this module.
-    confirmed = found.join(F.broadcast(listed), "label").withColumn("template_share", share)
+    found = scanner.scored(windows(docs).withColumn("runs", runs(words(F.col("text"))))).filter(F.col("probability") >= scanner.threshold)
+    confirmed = found.join(F.broadcast(template_runs(spark)), "label").withColumn("template_share", template_share())
     return best_windows(confirmed.filter(F.col("template_share") >= CONFIRMED)).select(
         "doc_id", "paragraph", "family", "probability", "template_share")
