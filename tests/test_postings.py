@@ -97,3 +97,9 @@ def test_empty_index_and_odd_documents(spark):
     none = postings.write_index(spark.createDataFrame([], POINTS))
     assert lexical.bm25_search(asked(spark, ["word"]), none).count() == 0 and lexical.quote_search(asked(spark, ["word"]), none, 9).count() == 0
     assert lexical.bm25_search(asked(spark, []), index).count() == 0
+
+
+def test_postings_repeat_no_filter_columns(small_index):
+    for table, meta in ((small_index.roots, small_index.root_meta), (small_index.words, small_index.word_meta)):
+        assert not set(postings.META) & set(table.columns)
+        assert meta.select(F.explode("chunk_id")).count() == small_index.total
