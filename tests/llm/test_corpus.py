@@ -133,6 +133,33 @@ def test_kept_documents_are_not_alike(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and far > 50
 
 
+def test_marks_rule_out_no_alike_sets():
+    draw = np.random.default_rng(4)
+    for size in (1, 7, 150, 2000):
+        a = np.unique(draw.integers(0, 1 << 64, size, dtype=np.uint64))
+        for changed in (0, 1, size // 9, size):
+            b = np.unique(np.concatenate([a[changed:], draw.integers(0, 1 << 64, changed, dtype=np.uint64)]))
+            differ = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(simhash.set_marks(a), simhash.set_marks(b)))
+            assert differ <= len(np.setxor1d(a, b)) and (differ > 0) == (changed > 0)
+
+
+def test_texts_of_a_common_passage_are_no_candidates(spark, monkeypatch):
+    """Texts that share bands but are not alike: candidates do not grow with the square of their number."""
+    draw = random.Random(9)
+    passage = [f"p{i}" for i in range(90)]
+    texts = [" ".join(passage + [f"q{draw.randrange(10 ** 9)}" for _ in range(draw.randint(34, 40))]) for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:20]]
+    asked, confirmed = [], simhash.confirmed
+
+    def counted(pairs, sets, similarity):
+        asked.append(pairs.distinct().count())
+        return confirmed(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "confirmed", counted)
+    kept = simhash.keep_one(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), 5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300)) and sum(asked) < 4 * len(texts)
+
+
 # --- decontamination ---
 
 

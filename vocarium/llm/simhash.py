@@ -17,6 +17,7 @@ Components are found by contraction, without gathering the neighbours of a node
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ BITS = 64
 #: Bands of minima and minima in each: sets of Jaccard similarity 0.8 share none with probability 3e-6.
 MIN_BANDS = 24
 MIN_ROWS = 4
+#: Bits of the marks of a set.
+MARK_BITS = 512
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -293,24 +296,43 @@ def min_bands(found: np.ndarray) -> list[int]:
     return [signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(rows)]
 
 
+def set_marks(found: np.ndarray) -> list[int]:
+    """``MARK_BITS`` bits, each the parity of the hashes that fall on it; each hash in one of two sets only flips one bit."""
+    place = (found * _FACTORS[0, 0]) >> np.uint64(BITS - MARK_BITS.bit_length() + 1)
+    odd = np.bincount(place.astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64).tolist()
+
+
+def may_be_alike(similarity: float) -> Column:
+    """Whether sizes and marks of two sets leave room for this Jaccard similarity; true for all that have it.
+
+    At similarity ``s`` two sets differ in at most ``(1 - s) / (1 + s)`` of the sum of their sizes.
+    """
+    differ = sum((F.bit_count(F.get("marks", F.lit(i)).bitwiseXOR(F.get("a_marks", F.lit(i)))) for i in range(MARK_BITS // BITS)), F.lit(0))
+    sizes = F.least("size", "a_size") >= F.lit(similarity) * F.greatest("size", "a_size") - 1e-6
+    return sizes & (differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("size") + F.col("a_size")) + 1e-6)
+
+
 def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, row_hash, root)`` for every row: components over pairs of at least this Jaccard similarity.
 
     Candidates are the links of the fingerprints, and pairs that share a band of minima, since at
     similarity 0.8 fingerprints differ in about 10 bits, where no band of them is whole any more. Each
     candidate is confirmed on the two whole shingle sets. A band's members meet a sample of themselves,
-    which grows from round to round until all pairs have met or all members are in one component.
+    which grows from round to round until all pairs have met or all members are in one component. They
+    meet within neighbouring classes of size, and only pairs that sizes and marks do not rule out are
+    candidates, so texts that share a passage but are not alike give none.
     """
     def mark(rows: Iterator[tuple]) -> Iterable[tuple]:
         for key, row, text in rows:
             hashes = shingle_hashes(text, shingle)
             found = np.unique(hashes)
-            yield key, row, signed(majority(hashes)), node_of(found), len(found), min_bands(found) if len(found) else []
+            yield key, row, signed(majority(hashes)), node_of(found), len(found), min_bands(found) if len(found) else [], set_marks(found)
 
     read = docs.select(F.col("doc_id").cast("bigint"), row_hash(docs), utf8("text"))
-    marked = written(map_rows(read, mark, "doc_id long, row_hash long, fp long, node long, size long, bands array<long>", rows=256), "shingle_sets")
+    marked = written(map_rows(read, mark, "doc_id long, row_hash long, fp long, node long, size long, bands array<long>, marks array<long>", rows=256), "shingle_sets")
     nodes = written(marked.groupBy("node").agg(
-        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("row_hash").alias("row_hash"), F.min("bands").alias("bands")), "distinct_sets")
+        F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("row_hash").alias("row_hash"), F.min("bands").alias("bands"), F.min("marks").alias("marks")), "distinct_sets")
     marked = marked.select("doc_id", "row_hash", "node")
     # One set of each fingerprint stands for it in the fingerprints' links; the bands hold all sets.
     of_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
@@ -318,32 +340,36 @@ def alike(docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS
     ends = lambda name: of_print.select(F.col("fp").alias(name), F.col("node").alias(f"{name}_node"))
     candidates = near.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
-    members = nodes.select("node", "size", F.explode("bands").alias("shard"))
+    members = nodes.select("node", F.explode("bands").alias("shard"))
     crowded = members.groupBy("shard").agg(F.count("node").alias("many")).filter("many > 1")
     members = written(members.join(crowded, "shard"), "band_members")
     near = members.select("node").union(candidates.select("a")).union(candidates.select("b")).distinct()
     sets = written(shingle_sets(docs, nodes.join(near, "node").select("row_hash"), shingle), "sets")
     edges = written(confirmed(candidates, sets, similarity), "alike")
     roots = components(edges)
+    step = -math.log(similarity) + 1e-6
+    marks = nodes.select("node", "size", "marks", F.floor(F.log("size") / step).alias("class"))
     met = 8
     while True:
         rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rooted = written(rooted.join(
             rooted.groupBy("shard").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("shard"),
             "shard"), "band_members")
+        marked_members = rooted.join(marks, "node")
         # The sample of a round holds those of the rounds before; with ``many`` members it is all of them.
-        place = F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 20)) / float(1 << 20)
-        asked = rooted.filter(place * F.col("many") < met).select(
-            "shard", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("root").alias("a_root"))
-        sizes = F.least("size", "a_size") >= F.lit(similarity) * F.greatest("size", "a_size") - 1e-6
-        pairs = rooted.join(asked, "shard").filter((F.col("root") != F.col("a_root")) & sizes).select(
+        # A node is early or late in all its bands, so that the same few pairs are asked for in each.
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << 20)) / float(1 << 20)
+        asked = marked_members.filter(place * F.col("many") < met).select(
+            "shard", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)).alias("class"), F.col("node").alias("a"),
+            F.col("size").alias("a_size"), F.col("marks").alias("a_marks"), F.col("root").alias("a_root"))
+        pairs = marked_members.join(asked, ["shard", "class"]).filter((F.col("root") != F.col("a_root")) & may_be_alike(similarity)).select(
             F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         edges = written(edges.union(confirmed(pairs, sets, similarity)), "alike")
         roots = components(edges)
         most = rooted.agg(F.max("many")).first()[0] or 0
         if most <= met:
             break
-        members, met = rooted.filter(F.col("many") > met).drop("root"), met * 8
+        members, met = rooted.filter(F.col("many") > met).drop("root"), met * 64
     return marked.join(roots, "node", "left").select(
         "doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
 
