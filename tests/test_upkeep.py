@@ -132,6 +132,17 @@ def test_distributed_words(spark):
     assert frame.select(edits.distribute_words(F.array(F.lit("x")), F.col("t")).alias("p")).head()["p"] == ["one two three four five six"]
 
 
+def test_align_words_is_no_group_of_pandas_per_chunk(spark):
+    """A chunk's words come as one row with its new text, not as a group in which each word carries that text."""
+    given = spark.createDataFrame([(1, 7, 7, "b x", 0.0, 20.0), (2, 7, 7, "", 20.0, 40.0), (3, 8, 8, "c", 0.0, 20.0)],
+                                  "chunk_id long, video_id long, target_id long, new_text string, start_sec double, end_sec double")
+    words = spark.createDataFrame([(7, 1, "b", 1.0, 2.0), (7, 0, "a", 0.0, 1.0), (7, 2, "c", 25.0, 26.0)],
+                                  "video_id long, pos long, word string, start double, end double").withColumn("confidence", F.lit(1.0))
+    made = edits.align_words(given, words)
+    assert [tuple(r) for r in made.orderBy("pos").collect()] == [(1, 0, "b", 1.0, 2.0, 1.0), (1, 1, "x", 2.0, 2.0, 1.0)]
+    assert "FlatMapGroups" not in made._jdf.queryExecution().toString()
+
+
 def test_align_keeps_times_of_equal_words():
     old = [{"word": w, "start": float(i), "end": i + .5, "confidence": .9} for i, w in enumerate(["a", "b", "c"])]
     got = edits.align(old, ["a", "x", "y", "c", "d"], 0.0, 3.0)
