@@ -103,3 +103,13 @@ def test_postings_repeat_no_filter_columns(small_index):
     for table, meta in ((small_index.roots, small_index.root_meta), (small_index.words, small_index.word_meta)):
         assert not set(postings.META) & set(table.columns)
         assert meta.select(F.explode("chunk_id")).count() == small_index.total
+
+
+def test_build_postings_moves_texts_and_not_postings(spark):
+    """Rows of one chunk count together, and the only exchange is that of the texts by chunk."""
+    points = spark.createDataFrame([(1, "a", "bb cc bb"), (2, None, "cc"), (1, "a", "bb")], "chunk_id long, title string, text string")
+    made = lexical.build_postings(points)
+    got = {(r["chunk_id"], r["root"]): r["tf"] for r in made.collect()}
+    assert got == {(1, "a"): 2, (1, "bb"): 3, (1, "cc"): 1, (2, "cc"): 1}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(chunk_id" in plan and ", root#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
