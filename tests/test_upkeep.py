@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vocarium.functions import identity, text as tx
 from vocarium.operators import chunking, edits, folders, indexing, people, queue, ranking
+from vocarium.plans import catalog
 from vocarium.sources import generations, transcripts
 from vocarium.session import work_path
 
@@ -178,3 +179,9 @@ def test_enqueue_is_idempotent(spark):
     opened = first.withColumns({"id": F.col("video_id"), "status": F.lit("pending")})
     assert first.count() == 2 and queue.index_dedupe_keys(sets, opened, 1).count() == 0
     assert queue.index_dedupe_keys(sets, opened.withColumn("status", F.lit("completed")), 1).count() == 2
+
+
+def test_embedding_memo_reads_its_texts_from_one_written_table(spark):
+    """Chunks are folded once for all branches of the query, not in each."""
+    made = catalog.runnable("embedding_memo")(spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in made._jdf.queryExecution().optimizedPlan().toString() and made.first()["n"] > 0
