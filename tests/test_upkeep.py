@@ -126,7 +126,7 @@ def test_unreadable_transcript_is_marked(spark, tmp_path):
     assert got == {"abc": False, "abd": True}
 
 
-@pytest.mark.parametrize("name", ["inventory_scan", "scan_norm_transcripts"])
+@pytest.mark.parametrize("name", ["inventory_scan", "scan_norm_transcripts", "scan_raw_transcripts"])
 def test_scans_write_no_file_for_each_document(spark, tmp_path, monkeypatch, name):
     spark.range(300).select(F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.lit("user").alias("role"),
                             F.lit("a b").alias("text")).write.parquet(str(tmp_path / "conversations.parquet"))
