@@ -237,6 +237,24 @@ def test_main_text_of_the_table(spark):
 # --- licences ---
 
 
+def test_new_words_are_not_searched_for_words():
+    """Signs after a space are pieces of their own, and words go to the tokenizer without its pattern."""
+    assert token_files.pieces(b"ab | cd #e") == [b"ab", b" |", b" cd", b" #e"]
+    encoder = token_files.Encoder(TOKENIZER)
+    texts = ["\u00e9t\u00e9 zzyx | Zzyx |abc  # \n| x\t|y", "zz'll \u00d7 zz\u00f7 '|' 12 |3 <|endoftext|>", ""]
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    seen = []
+
+    class Noted:
+        def encode_batch_fast(self, given, **options):
+            seen.extend(given)
+            return words.encode_batch_fast(given, **options)
+
+    words, encoder.words = encoder.words, Noted()
+    assert [ids.tolist() for ids in encoder.encode([t.encode() for t in texts])] == want
+    assert "\u0120zzyx" in seen[0].split("\u010a")
+
+
 def test_short_pieces_with_zero_bytes():
     encoder = token_files.Encoder(TOKENIZER)
     docs = ["", "a", "a\0", "\0\0", "the\0 the", "word\nword", "", " abcdefgh abcdefghi", "\0"]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vocarium.llm.rows import KEPT, make_room, plain
+from vocarium.llm.rows import KEPT, byte_alphabet, make_room, plain
 from vocarium.session import written
 
 #: Bytes of text that are cut and tokenised together, and whose id pairs are sent together; a longer document is alone.
@@ -55,13 +55,6 @@ class Units(NamedTuple):
     links: np.ndarray
 
 
-def byte_alphabet() -> dict[str, int]:
-    """Characters by which a byte-level vocabulary writes bytes: itself if printable, else the next free one from 256."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 class Pair:
     """Both tokenizers in one worker."""
 

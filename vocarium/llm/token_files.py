@@ -11,6 +11,7 @@ file, and any store that Spark can write to will do. A task makes the bytes of o
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -22,7 +23,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vocarium.llm.rows import KEPT, map_rows, texts
+from vocarium.llm.rows import KEPT, byte_alphabet, map_rows, texts
 from vocarium.session import work_path
 
 # Fixed values of the zstandard seekable format.
@@ -47,6 +48,9 @@ _NAME = np.dtype([("doc_id", "<i8"), ("null", "u1")])
 #: Pieces with a letter or plain sign at both ends, after a space or not, and no line break.
 _PLAIN = re.compile(rb" ?(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])(?:[^\n]*(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))?")
 
+#: Pieces of letters alone, which the pre-tokenizer leaves whole.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
@@ -56,7 +60,7 @@ _SIGN[[ord(c) for c in '.,;:!?|#$%&*()[]{}<>"/+=@~^_-']] = True
 def cuts(a: np.ndarray) -> np.ndarray:
     """Where the byte-level pre-tokenizer cuts a text as well: one mark before each byte and one at the end.
 
-    Cuts are made only before a space that a letter follows, between a letter and a plain sign, and
+    Cuts are made only before a space that a letter or plain sign follows, between a letter and a plain sign, and
     around a single line break between visible characters. Everything else stays in one piece, so
     encoding the pieces one by one gives the ids of the whole text.
     """
@@ -70,7 +74,7 @@ def cuts(a: np.ndarray) -> np.ndarray:
     letter[1:] |= latin
     begins[:-1] |= latin
     sign = _SIGN[a]
-    cut[:-2] |= (a[:-1] == 32) & begins[1:]
+    cut[:-2] |= (a[:-1] == 32) & (begins | sign)[1:]
     cut[1:-1] |= letter[:-1] & sign[1:]
     line = (a[1:-1] == 10) & (letter[:-2] | sign[:-2]) & begins[2:]
     cut[1:-2] |= line
@@ -107,34 +111,63 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.path, self.remembered = path, remembered
         self.line = self._ids("\n")
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
+        self.words = self._of_words()
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _of_words(self):
+        """The tokenizer without its search for words, for words in its own alphabet; None where it does more than that."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        parts = json.loads(self.tokenizer.to_str())
+        before, model = parts["pre_tokenizer"] or {}, parts["model"]
+        if (parts["normalizer"] is not None or before.get("type") != "ByteLevel" or not before.get("use_regex", True)
+                or before.get("add_prefix_space") or model.get("type") != "BPE" or not all(t["special"] for t in parts["added_tokens"])):
+            return None
+        words = Tokenizer.from_file(self.path)
+        words.encode_special_tokens = True
+        words.pre_tokenizer = pre_tokenizers.Split(self.alphabet[10], "isolated")
+        return words
+
     def forget(self) -> None:
         self.known: dict[int | bytes, int] = {}
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encode pieces in one call, parted by line breaks, which are a token of their own."""
-        simple = list(filter(_PLAIN.fullmatch, new))
-        odd = list(set(new).difference(simple)) if len(simple) < len(new) else []
-        joined = b"\n".join(simple).decode()
-        got = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        """Encode pieces in one call, parted by line breaks, which are a token of their own; words without the search for words."""
+        words = list(filter(_WORD.fullmatch, new)) if self.words else []
+        rest = list(set(new).difference(words)) if words else new
+        simple = list(filter(_PLAIN.fullmatch, rest))
+        odd = list(set(rest).difference(simple)) if len(simple) < len(rest) else []
+        parts = []
+        if words:
+            parts.append((words, self._joined(self.words, b"\n".join(words).decode("latin-1").translate(self.alphabet), len(words))))
+        if simple:
+            parts.append((simple, self._joined(self.tokenizer, b"\n".join(simple).decode(), len(simple))))
+        for group, found in parts:
+            if found is None:  # a tokenizer with another line break: one by one
+                odd = [*odd, *group]
+            else:
+                self._add(group, *found)
+        if odd:
+            alone = [np.array(self._ids(piece.decode()), np.uint32) for piece in odd]
+            self._add(odd, np.concatenate(alone), np.cumsum(np.fromiter(map(len, alone), np.int64, len(alone))))
+
+    def _joined(self, tokenizer, text: str, many: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of pieces parted by line breaks, and where each ends; None where the breaks do not part them."""
+        got = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         breaks = got == self.line[0]
         ends = np.append(np.flatnonzero(breaks) - np.arange(breaks.sum()), len(got) - breaks.sum())
-        ids = got[~breaks]
-        if len(ends) != max(1, len(simple)):  # a tokenizer with another line break: one by one
-            odd, simple = new, []
-        if not simple:
-            ids, ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        alone = [np.array(self._ids(piece.decode()), np.uint32) for piece in odd]
-        lengths = np.fromiter(map(len, alone), np.int64, len(alone))
+        return (got[~breaks], ends) if len(ends) == many else None
+
+    def _add(self, group: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
         base = len(self.known)
-        self.known.update(zip(map(short_key, [*simple, *odd]), range(base, base + len(simple) + len(odd))))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + ends, self.begin[-1] + len(ids) + np.cumsum(lengths)])
-        self.pool = np.concatenate([self.pool, ids, *alone])
+        self.known.update(zip(map(short_key, group), range(base, base + len(group))))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + ends])
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, documents: Sequence[bytes]) -> list[np.ndarray]:
         """Ids of each document, as unsigned 32-bit integers.
